@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prismer.llm import bpe_codec, packing, token_counts, token_store, toxicity
+from prismer.llm import bpe_codec, fingerprints, packing, pii, token_counts, token_store, toxicity
 from prismer.llm.common import shared_dir, table
 
 
@@ -30,6 +30,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replace(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
@@ -37,12 +41,16 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_pairs(table(spark, sf_dir, "documents"))
+
+
 def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.encode(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), with_ids=False)
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_counts, op2_token_store, op3_packing, op7_toxicity, op9_bpe_codec)}
+    return {f.__name__: f for f in (op1_token_counts, op2_token_store, op3_packing, op5_pii, op7_toxicity, op8_fingerprints, op9_bpe_codec)}
 
 
 def oracle_sql() -> dict[str, str]:
