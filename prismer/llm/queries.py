@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prismer.llm import bpe_codec, fingerprints, packing, pii, token_counts, token_store, toxicity
+from prismer.llm import bpe_codec, fingerprints, near_vectors, packing, pii, token_counts, token_store, toxicity
 from prismer.llm.common import shared_dir, table
 
 
@@ -34,6 +34,10 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.replace(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op6_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
@@ -50,8 +54,23 @@ def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_counts, op2_token_store, op3_packing, op5_pii, op7_toxicity, op8_fingerprints, op9_bpe_codec)}
+    return {f.__name__: f for f in (op1_token_counts, op2_token_store, op3_packing, op5_pii, op6_near_vectors, op7_toxicity, op8_fingerprints, op9_bpe_codec)}
+
+
+OP6_SQL = """
+with recursive v as (
+  select vec_id, label, cast(embedding as double[]) e from embeddings
+  where vec_id is not null and label is not null and embedding is not null and len(embedding) > 0
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and list_sum(list_transform(cast(embedding as double[]), lambda x: x * x)) > 0
+), links as (
+  select a.vec_id a, b.vec_id b from v a join v b on a.label = b.label and a.vec_id <> b.vec_id and len(a.e) = len(b.e) where list_cosine_similarity(a.e, b.e) >= 0.93
+), reach(node, seen) as (
+  select vec_id, vec_id from embeddings union select r.node, l.b from reach r join links l on r.seen = l.a
+), n as (select a, count(*) n from links group by a), c as (select node, min(seen) root from reach group by node)
+select e.vec_id, cast(coalesce(n.n, 0) as bigint) n_links, coalesce(c.root, e.vec_id) component_id, coalesce(c.root, e.vec_id) = e.vec_id kept
+from embeddings e left join n on n.a = e.vec_id left join c on c.node = e.vec_id
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_near_vectors": OP6_SQL}
