@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prismer.llm import bpe_codec, fingerprints, near_vectors, packing, pii, token_counts, token_store, toxicity
+from prismer.llm import bpe_codec, fingerprints, near_vectors, ngram_join, packing, pii, token_counts, token_store, toxicity
 from prismer.llm.common import shared_dir, table
 
 
@@ -30,6 +30,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.classes(table(spark, sf_dir, "documents"), width=3, percent=90)
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.replace(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -54,7 +58,7 @@ def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_counts, op2_token_store, op3_packing, op5_pii, op6_near_vectors, op7_toxicity, op8_fingerprints, op9_bpe_codec)}
+    return {f.__name__: f for f in (op1_token_counts, op2_token_store, op3_packing, op4_ngram_join, op5_pii, op6_near_vectors, op7_toxicity, op8_fingerprints, op9_bpe_codec)}
 
 
 OP6_SQL = """
