@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prismer.llm import bpe_codec, fingerprints, near_vectors, ngram_join, packing, pii, token_counts, token_store, toxicity
+from prismer.llm import bpe_codec, fingerprints, line_dedup, near_vectors, ngram_join, packing, pii, token_counts, token_store, toxicity
 from prismer.llm.common import shared_dir, table
 
 
@@ -57,8 +57,13 @@ def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.encode(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), with_ids=False)
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.dedup(docs).select("doc_id", "n_lines", "n_dropped", "text")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_counts, op2_token_store, op3_packing, op4_ngram_join, op5_pii, op6_near_vectors, op7_toxicity, op8_fingerprints, op9_bpe_codec)}
+    return {f.__name__: f for f in (op1_token_counts, op2_token_store, op3_packing, op4_ngram_join, op5_pii, op6_near_vectors, op7_toxicity, op8_fingerprints, op9_bpe_codec, op10_line_dedup)}
 
 
 OP6_SQL = """
