@@ -150,14 +150,22 @@ def prefixes(docs: DataFrame, width: int, percent: int, order: tuple[np.ndarray,
 
 
 def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(g, n, prefix) to a row (h, g, n) for each shingle of the prefix."""
+    """(g, n, prefix) to a row (h, g, n, at) for each shingle of the prefix, at being its place there."""
     for batch in batches:
         raw = batch.column(2)
         size = pc.binary_length(raw).to_numpy() // 8
         h = np.frombuffer(b"".join(raw.to_pylist()), np.int64)
+        rows = np.repeat(np.arange(len(size)), size)
+        places = np.arange(len(h)) - (np.cumsum(size) - size)[rows]
         for a in range(0, len(h), 500_000):
-            row = np.repeat(np.arange(len(size)), size)[a : a + 500_000]
-            yield pa.RecordBatch.from_arrays([pa.array(h[a : a + 500_000]), batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row))], ["h", "g", "n"])
+            row = pa.array(rows[a : a + 500_000])
+            yield pa.RecordBatch.from_arrays([pa.array(h[a : a + 500_000]), batch.column(0).take(row), batch.column(1).take(row), pa.array(places[a : a + 500_000])], ["h", "g", "n", "at"])
+
+
+def _may(percent: int, n: np.ndarray, at: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether rows i and j may link if the shingle they share here is the first they share: what can follow it is bounded by the places left."""
+    most = np.minimum(n[i] - at[i], n[j] - at[j])
+    return 100 * most >= percent * (n[i] + n[j] - most)
 
 
 def _distinct(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -171,51 +179,53 @@ def _distinct(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _first_pairs(percent: int):
-    """From rows (h, g, n) sorted by them: pairs a, b to compare at first (kind 0), and the h of lists that hold more (kind 1, in a).
+    """From rows (h, g, n, at) sorted by them: pairs a, b to compare at first (kind 0), and the h of lists that hold more (kind 1, in a).
 
     Each row is compared with the NEAR rows before it that have its h and a compatible size. Where
     there are more of these it is also compared with the list's first row here and with one
     half-way, which mostly joins a group of copies at once; such lists are looked at again once
-    components are known. Only the last rows are held from batch to batch, however long a list is.
+    components are known. A linked pair passes the bound on places in the list of its first common
+    shingle, so pairs that fail it in a list are left to the others. Only the last rows are held from batch to batch, however long a list is.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tail = [np.zeros(0, np.int64)] * 3
+        tail = [np.zeros(0, np.int64)] * 4
         for batch in batches:
             old = len(tail[0])
-            h, g, n = (np.concatenate([tail[i], batch.column(i).to_numpy()]) for i in range(3))
+            h, g, n, at = (np.concatenate([tail[i], batch.column(i).to_numpy()]) for i in range(4))
             k, a, b = len(h), [], []
             for d in range(1, NEAR + 1):
                 j = np.arange(max(old, d), k)
-                fit = (h[j - d] == h[j]) & (100 * n[j - d] >= percent * n[j])
+                fit = (h[j - d] == h[j]) & _may(percent, n, at, j - d, j)
                 a.append(g[j[fit] - d])
                 b.append(g[j[fit]])
             j = np.arange(max(old, NEAR + 1), k)
             j = j[(h[j - NEAR - 1] == h[j]) & (100 * n[j - NEAR - 1] >= percent * n[j])]
             start = np.maximum.accumulate(np.where(np.append(True, h[1:] != h[:-1])[:k], np.arange(k), 0)) if k else np.zeros(0, int)
             for i in (start[j], start[j] + (j - start[j]) // 2):
-                fit = 100 * n[i] >= percent * n[j]
+                fit = _may(percent, n, at, i, j)
                 a.append(g[i[fit]])
                 b.append(g[j[fit]])
             both = _distinct(np.concatenate(a), np.concatenate(b))
             hot = np.unique(h[j])
             yield pa.RecordBatch.from_arrays([pa.array(np.zeros(both.shape[1], np.int32)), pa.array(both[0]), pa.array(both[1])], ["kind", "a", "b"])
             yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(hot), np.int32)), pa.array(hot), pa.array(hot)], ["kind", "a", "b"])
-            tail = [x[max(0, k - NEAR - 1) :] for x in (h, g, n)]
+            tail = [x[max(0, k - NEAR - 1) :] for x in (h, g, n, at)]
 
     return run
 
 
 def _rest_pairs(percent: int):
-    """From rows (h, g, n, c) sorted by them: all pairs of a list with compatible sizes and different components c."""
+    """From rows (h, g, n, at, c) sorted by them: all pairs of a list that may link and are of different components c."""
 
     def of(rows: np.ndarray) -> Iterator[np.ndarray]:
-        g, n, c = rows[1], rows[2], rows[3]
+        g, n, at, c = rows[1], rows[2], rows[3], rows[4]
         lo = np.searchsorted(n, -(-percent * n // 100))
         out, size = [], 0
         for j in range(1, len(g)):
             i = np.arange(lo[j], j)
             i = i[c[i] != c[j]]
+            i = i[_may(percent, n, at, i, j)]
             if len(i):
                 out.append(np.stack([np.minimum(g[i], g[j]), np.maximum(g[i], g[j])]))
                 size += len(i)
@@ -226,7 +236,7 @@ def _rest_pairs(percent: int):
             yield np.concatenate(out, 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros((4, 0), np.int64)
+        held = np.zeros((5, 0), np.int64)
 
         def emit(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
             cuts = np.flatnonzero(rows[0, 1:] != rows[0, :-1]) + 1
@@ -236,7 +246,7 @@ def _rest_pairs(percent: int):
                 yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
 
         for batch in batches:
-            rows = np.concatenate([held, np.stack([batch.column(i).to_numpy() for i in range(4)])], 1)
+            rows = np.concatenate([held, np.stack([batch.column(i).to_numpy() for i in range(5)])], 1)
             last = int(np.searchsorted(rows[0], rows[0, -1])) if rows.shape[1] else 0
             yield from emit(rows[:, :last])
             held = rows[:, last:]
@@ -314,9 +324,9 @@ def classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     entities = saved(base.where("n > 0 and doc_id is not null").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("e"), F.min("p1").alias("p1"), F.min("p2").alias("p2")))
     groups = saved(entities.groupBy("n", "p1", "p2").agg(F.min("e").alias("g"), F.count("*").alias("k")))
     leaders = base.select("doc_id", "n", "s1", "s2", "p1", "p2", "prefix").join(groups.select(F.col("g").alias("doc_id"), "n", "p1", "p2"), ["doc_id", "n", "p1", "p2"], "left_semi").dropDuplicates(["doc_id", "s1"])
-    lists = leaders.select(F.col("doc_id").alias("g"), "n", "prefix").mapInArrow(_spread, "h long, g long, n long")
+    lists = leaders.select(F.col("doc_id").alias("g"), "n", "prefix").mapInArrow(_spread, "h long, g long, n long, at long")
     large = groups.where("k > 1").select("n", "p1", "p2")
-    members = entities.join(large, ["n", "p1", "p2"]).select(F.xxhash64("p1", "p2", "n").alias("h"), F.col("e").alias("g"), "n")
+    members = entities.join(large, ["n", "p1", "p2"]).select(F.xxhash64("p1", "p2", "n").alias("h"), F.col("e").alias("g"), "n", F.lit(0).cast("long").alias("at"))
     lists = saved(lists.unionByName(members))
     first = saved(lists.repartition("h").sortWithinPartitions("h", "n", "g").mapInArrow(_first_pairs(percent), "kind int, a long, b long").distinct())
     tried = first.where("kind = 0").select("a", "b")
@@ -325,7 +335,9 @@ def classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     more = first.where("kind = 1").select(F.col("a").alias("h")).distinct()
     if more.take(1) or large.take(1):
         root = known.select(F.col("node").alias("g"), "root")
-        again = saved(lists.join(more, "h", "left_semi").join(root, "g", "left").select("h", "g", "n", F.coalesce("root", "g").alias("c")))
+        # a group of several entities may have members elsewhere than its leader, so its pairs stay open
+        apart = groups.where("k > 1").select("g", F.xxhash64("g").alias("own"))
+        again = saved(lists.join(more, "h", "left_semi").join(root, "g", "left").join(apart, "g", "left").select("h", "g", "n", "at", F.coalesce("own", "root", "g").alias("c")))
         several = again.groupBy("h").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x != y").select("h")
         open_lists = again.join(several, "h", "left_semi").repartition("h").sortWithinPartitions("h", "n", "g")
         rest = saved(open_lists.mapInArrow(_rest_pairs(percent), "a long, b long").distinct())
@@ -333,7 +345,9 @@ def classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
         # members of larger groups stand for themselves wherever their groups meet
         who = entities.join(groups.where("k > 1"), ["n", "p1", "p2"]).select("g", "e")
         left, right = who.select(F.col("g").alias("a"), F.col("e").alias("ea")), who.select(F.col("g").alias("b"), F.col("e").alias("eb"))
-        wide = met.join(left, "a", "left").join(right, "b", "left").where("ea is not null or eb is not null").select(F.coalesce("ea", "a").alias("x"), F.coalesce("eb", "b").alias("y"))
+        from_a = met.join(left, "a").join(right, "b", "left").select(F.col("ea").alias("x"), F.coalesce("eb", "b").alias("y"))
+        from_b = met.join(right, "b").select(F.col("a").alias("x"), F.col("eb").alias("y"))
+        wide = from_a.unionByName(from_b)
         ra, rb = known.select(F.col("node").alias("x"), F.col("root").alias("rx")), known.select(F.col("node").alias("y"), F.col("root").alias("ry"))
         wide = wide.join(ra, "x", "left").join(rb, "y", "left").where(F.coalesce("rx", "x") != F.coalesce("ry", "y")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
         todo = saved(rest.unionByName(wide).distinct().join(tried, ["a", "b"], "left_anti"))
