@@ -222,7 +222,7 @@ def _sql() -> dict[str, str]:
     dra = f"{dr}, {aligned}, {per_read}, {names}"
 
     def threshold(den: str) -> str:
-        return f"{dr} select item_id, color, hits, n_all, n_rel from n join t using (item_id) where n_rel >= 1 qualify hits / cast({den} as double) >= 0.7"
+        return f"{dr}, m as (select *, max(hits) over (partition by item_id) most from n join t using (item_id)) select item_id, color, hits, n_all, n_rel from m where n_rel >= 1 and hits / cast({den} as double) >= 0.7"
 
     def classes(key: str, name: str) -> str:
         return f"""
@@ -244,7 +244,7 @@ def _sql() -> dict[str, str]:
     return {
         "threshold_all": threshold("n_all"),
         "threshold_relevant": threshold("n_rel"),
-        "threshold_maxhits": threshold("max(hits) over (partition by item_id)"),
+        "threshold_maxhits": threshold("most"),
         "kmer_index": f"{d} select kmer, len(colors) n_colors, {text} colors from d_idx",
         "color_set_sizes": f"{d} select {text} colors, cast(len(colors) as bigint) size, count(*) n_kmers from d_idx group by colors",
         "intersection": f"""{dr}, g as (select item_id, count(*) runs from (select *, lag(colors) over (partition by item_id order by pos) before, row_number() over (partition by item_id order by pos) rn from h)
@@ -272,7 +272,7 @@ def _sql() -> dict[str, str]:
         "dbg_degrees": f"with {own}, {ends.format('b')} select f.kmer, coalesce(ns.n, 0) indegree, coalesce(np.n, 0) outdegree from f left join ns on f.p = ns.s left join np on f.s = np.p",
         "unitigs": f"with recursive {own}, {ends.format('b')}, {walk} select distinct least(seq, translate(reverse(seq), 'ACGT', 'TGCA')) seq, cast(n_kmers as bigint) n_kmers from uni",
         "votes": f"""{dr}, {support}, m as (select *, greatest(3, floor(max(uniq) over (partition by item_id) * 0.5)) nu, greatest(3, floor(max(shared) over (partition by item_id) * 0.5)) nh from w),
-            k as (select *, bool_or(uniq >= nu) over (partition by item_id) some from m) select item_id, color from k where case when some then uniq >= nu else shared >= nh end""",
+            k as (select *, bool_or(uniq >= nu) over (partition by item_id) sure from m) select item_id, color from k where case when sure then uniq >= nu else shared >= nh end""",
         "weighted_support": f"{dr}, {support} select item_id, color from w qualify (uniq * 0.3e0 + shared * 0.7e0) / max(shared) over (partition by item_id) >= 0.5e0 - 1e-8",
     }
 

@@ -30,9 +30,18 @@ def valid(kmer: Column) -> Column:
 
 
 def kmers(seq: Column, k: int) -> Column:
-    """All substrings of length k, none for a shorter sequence."""
-    places = F.when(F.length(seq) >= k, F.sequence(F.lit(1), F.length(seq) - (k - 1))).otherwise(F.array().cast("array<int>"))
-    return F.transform(places, lambda i: F.substring(seq, i, F.lit(k)))
+    """All substrings of length k, none for a shorter sequence.
+
+    The sequence is computed once, as bytes: a substring of bytes is found by its place, one of a
+    string by a walk from its start.
+    """
+
+    def of(b: Column) -> Column:
+        n = F.octet_length(b)
+        places = F.when(n >= k, F.sequence(F.lit(1), n - (k - 1))).otherwise(F.array().cast("array<int>"))
+        return F.transform(places, lambda i: F.substring(b, i, F.lit(k)).cast("string"))
+
+    return F.get(F.transform(F.array(seq.cast("binary")), of), F.lit(0))
 
 
 def minimizer(kmer: Column, k: int, m: int) -> Column:

@@ -76,6 +76,10 @@ def build_one_color(sequences: DataFrame, k: int, name: str) -> Index:
     return build(sequences.withColumn("color", F.lit(0)), k, sequences.sparkSession.createDataFrame([(0, name)], "color int, name string"))
 
 
+def _shifted(colors: str, by: int) -> Column:
+    return F.transform(colors, lambda c: c + by)
+
+
 def merge(parts: list[Index]) -> Index:
     """One index of several with the same k; colors of later parts are shifted past those of earlier ones.
 
@@ -89,7 +93,7 @@ def merge(parts: list[Index]) -> Index:
         return parts[0]
     shift, tables, names = 0, [], []
     for p in parts:
-        tables.append(p.kmers.select("kmer", F.transform("colors", lambda c, s=shift: c + s).alias("colors")))
+        tables.append(p.kmers.select("kmer", _shifted("colors", shift).alias("colors")))
         names.append(p.colors.select((F.col("color") + shift).alias("color"), "name"))
         shift += p.n_colors
     table, name = tables[0], names[0]
