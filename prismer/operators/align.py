@@ -23,7 +23,8 @@ def hits(index: Index, reads: DataFrame, key: str = "query_idx") -> DataFrame:
 def color_counts(index: Index, reads: DataFrame, key: str = "query_idx") -> tuple[DataFrame, DataFrame]:
     """(key, color, hits), and (key, n_all, n_rel) for reads with any place; counted by distinct k-mer before colors are unnested."""
     places = positions(reads, index.k, key).groupBy(key, canonical(F.col("kmer")).alias("kmer")).agg(F.count("*").alias("n"))
-    met = places.join(index.kmers, "kmer", "left")
+    known = index.kmers.join(places.select("kmer").distinct(), "kmer", "left_semi")
+    met = places.join(known, "kmer", "left")
     totals = met.groupBy(key).agg(F.sum("n").alias("n_all"), F.sum(F.when(F.col("colors").isNotNull(), F.col("n")).otherwise(0)).alias("n_rel"))
     sets = met.where("colors is not null").groupBy(key, "colors").agg(F.sum("n").alias("n"))
     return sets.select(key, F.explode("colors").alias("color"), "n").groupBy(key, "color").agg(F.sum("n").alias("hits")), totals
