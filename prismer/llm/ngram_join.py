@@ -16,7 +16,7 @@ from prismer.llm.common import components, dropped, saved
 #: Shingles known to be frequent that travel to every task; the order of the others is their hashes'.
 FREQUENT = 100_000
 #: Neighbours in a list that are compared before components are known.
-NEAR = 2
+NEAR = 4
 U = np.uint64
 
 
