@@ -222,7 +222,7 @@ def dedup(docs: DataFrame, edits: int = EDITS, shortest: int = SHORTEST) -> Data
     if more.take(1):
         again = saved(more.join(known.select(F.col("node").alias("g"), "root"), "g", "left").select("h", "g", F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("at"), F.coalesce("root", "g").alias("c")))
         several = again.groupBy("h").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x != y").select("h")
-        rest = again.join(several, "h", "left_semi").repartition("h").sortWithinPartitions("h", "n", "g").mapInArrow(_rest_pairs(0), "a long, b long")
+        rest = again.join(several, "h", "left_semi").repartition("h").sortWithinPartitions("h", "n", "g").mapInArrow(_rest_pairs(0, lambda n, words, i, j: np.ones(len(i), bool)), "a long, b long")
         todo = saved(rest.distinct().join(tried, ["a", "b"], "left_anti"))
         if todo.take(1):
             links = _verified(keyed, todo, edits, shortest)

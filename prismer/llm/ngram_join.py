@@ -83,6 +83,27 @@ def _sums(h: np.ndarray, begin: np.ndarray, salt: int) -> np.ndarray:
         return total[begin[1:]] - total[begin[:-1]]
 
 
+def _odd(h: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits in two words for each set: whether an odd number of its hashes fall in each of 128 classes."""
+    bit, second = U(1) << (h & U(63)), (h >> U(6)) & U(1)
+    total = [np.append(U(0), np.bitwise_xor.accumulate(bit * (second == w))) for w in (0, 1)]
+    return tuple(t[begin[1:]] ^ t[begin[:-1]] for t in total)
+
+
+def _near_sets(percent: int):
+    """Whether groups i and j may hold linked sets, from words k1, k2 (odd bits) and m1, m2 (bits all members agree on).
+
+    The bits in which two sets differ are at most the shingles that only one of them has, and the similarity bounds these.
+    """
+
+    def near(n: np.ndarray, words: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        k, m = words[:2].view(U), words[2:].view(U)
+        far = sum(np.bitwise_count((k[w][i] ^ k[w][j]) & m[w][i] & m[w][j]).astype(np.int64) for w in (0, 1))
+        return (100 + percent) * far <= (100 - percent) * (n[i] + n[j])
+
+    return near
+
+
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.astype(U).view(np.int64))
 
@@ -119,7 +140,7 @@ def frequent(docs: DataFrame, width: int, most: int = FREQUENT) -> tuple[np.ndar
 
 
 def prefixes(docs: DataFrame, width: int, percent: int, order: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """doc_id, n (set size), s1, s2 (the set's hash), p1, p2 (its prefix's hash) and prefix.
+    """doc_id, n (set size), s1, s2 (the set's hash), p1, p2 (its prefix's hash), k1, k2 (its odd bits) and prefix.
 
     The prefix holds the n - ceil(t n) + 1 rarest shingles; two sets with similarity t or more
     share one of them. Rows without shingles are kept with n = 0.
@@ -135,6 +156,7 @@ def prefixes(docs: DataFrame, width: int, percent: int, order: tuple[np.ndarray,
             at = np.minimum(np.searchsorted(hot, h), max(0, len(hot) - 1)) if len(hot) else np.zeros(len(h), int)
             weight = np.where(hot[at] == h, count[at], 0) if len(hot) else np.zeros(len(h), int)
             s1, s2 = _sums(h, begin, 1), _sums(h, begin, 2)
+            k1, k2 = _odd(h, begin)
             h = h[np.lexsort((h, weight, row))]
             size = np.where(n > 0, n - -(-n * percent // 100) + 1, 0)
             first = (np.arange(len(h)) - begin[row]) < size[row]
@@ -142,15 +164,15 @@ def prefixes(docs: DataFrame, width: int, percent: int, order: tuple[np.ndarray,
             starts = np.append(0, np.cumsum(size))
             raw = pa.Array.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer((starts * 8).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(h))])
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array(n), _signed(s1), _signed(s2), _signed(_sums(h, starts, 3)), _signed(_sums(h, starts, 4)), raw.cast(pa.binary())],
-                ["doc_id", "n", "s1", "s2", "p1", "p2", "prefix"],
+                [part.column(0), pa.array(n), _signed(s1), _signed(s2), _signed(_sums(h, starts, 3)), _signed(_sums(h, starts, 4)), _signed(k1), _signed(k2), raw.cast(pa.binary())],
+                ["doc_id", "n", "s1", "s2", "p1", "p2", "k1", "k2", "prefix"],
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, s1 long, s2 long, p1 long, p2 long, prefix binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, s1 long, s2 long, p1 long, p2 long, k1 long, k2 long, prefix binary")
 
 
 def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(g, n, prefix) to a row (h, g, n, at) for each shingle of the prefix, at being its place there."""
+    """(g, n, prefix, k1, k2, m1, m2) to a row (h, g, n, at, k1, k2, m1, m2) for each shingle of the prefix, at being its place there."""
     for batch in batches:
         raw = batch.column(2)
         size = pc.binary_length(raw).to_numpy() // 8
@@ -159,7 +181,8 @@ def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         places = np.arange(len(h)) - (np.cumsum(size) - size)[rows]
         for a in range(0, len(h), 500_000):
             row = pa.array(rows[a : a + 500_000])
-            yield pa.RecordBatch.from_arrays([pa.array(h[a : a + 500_000]), batch.column(0).take(row), batch.column(1).take(row), pa.array(places[a : a + 500_000])], ["h", "g", "n", "at"])
+            first = [pa.array(h[a : a + 500_000]), batch.column(0).take(row), batch.column(1).take(row), pa.array(places[a : a + 500_000])]
+            yield pa.RecordBatch.from_arrays(first + [batch.column(i).take(row) for i in range(3, 7)], ["h", "g", "n", "at", "k1", "k2", "m1", "m2"])
 
 
 def _may(percent: int, n: np.ndarray, at: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -179,53 +202,57 @@ def _distinct(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _first_pairs(percent: int):
-    """From rows (h, g, n, at) sorted by them: pairs a, b to compare at first (kind 0), and the h of lists that hold more (kind 1, in a).
+    """From rows (h, g, n, at, k1, k2, m1, m2) sorted by h, n and g: pairs a, b to compare at first (kind 0), and the h of lists that hold more (kind 1, in a).
 
     Each row is compared with the NEAR rows before it that have its h and a compatible size. Where
     there are more of these it is also compared with the list's first row here and with one
     half-way, which mostly joins a group of copies at once; such lists are looked at again once
-    components are known. A linked pair passes the bound on places in the list of its first common
+    components are known. Pairs whose bits tell that they cannot link are left out. A linked pair passes the bound on places in the list of its first common
     shingle, so pairs that fail it in a list are left to the others. Only the last rows are held from batch to batch, however long a list is.
     """
 
+    near = _near_sets(percent)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tail = [np.zeros(0, np.int64)] * 4
+        tail = np.zeros((8, 0), np.int64)
         for batch in batches:
-            old = len(tail[0])
-            h, g, n, at = (np.concatenate([tail[i], batch.column(i).to_numpy()]) for i in range(4))
+            old = tail.shape[1]
+            rows = np.concatenate([tail, np.stack([batch.column(i).to_numpy() for i in range(8)])], 1)
+            h, g, n, at, words = *rows[:4], rows[4:]
             k, a, b = len(h), [], []
             for d in range(1, NEAR + 1):
                 j = np.arange(max(old, d), k)
-                fit = (h[j - d] == h[j]) & _may(percent, n, at, j - d, j)
+                fit = (h[j - d] == h[j]) & _may(percent, n, at, j - d, j) & near(n, words, j - d, j)
                 a.append(g[j[fit] - d])
                 b.append(g[j[fit]])
             j = np.arange(max(old, NEAR + 1), k)
             j = j[(h[j - NEAR - 1] == h[j]) & (100 * n[j - NEAR - 1] >= percent * n[j])]
             start = np.maximum.accumulate(np.where(np.append(True, h[1:] != h[:-1])[:k], np.arange(k), 0)) if k else np.zeros(0, int)
             for i in (start[j], start[j] + (j - start[j]) // 2):
-                fit = _may(percent, n, at, i, j)
+                fit = _may(percent, n, at, i, j) & near(n, words, i, j)
                 a.append(g[i[fit]])
                 b.append(g[j[fit]])
             both = _distinct(np.concatenate(a), np.concatenate(b))
             hot = np.unique(h[j])
             yield pa.RecordBatch.from_arrays([pa.array(np.zeros(both.shape[1], np.int32)), pa.array(both[0]), pa.array(both[1])], ["kind", "a", "b"])
             yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(hot), np.int32)), pa.array(hot), pa.array(hot)], ["kind", "a", "b"])
-            tail = [x[max(0, k - NEAR - 1) :] for x in (h, g, n, at)]
+            tail = rows[:, max(0, k - NEAR - 1) :]
 
     return run
 
 
-def _rest_pairs(percent: int):
-    """From rows (h, g, n, at, c) sorted by them: all pairs of a list that may link and are of different components c."""
+def _rest_pairs(percent: int, near):
+    """From rows (h, g, n, at, c, bits) sorted by h, n and g: all pairs of a list that may link, by near() too, and are of different components c."""
 
     def of(rows: np.ndarray) -> Iterator[np.ndarray]:
-        g, n, at, c = rows[1], rows[2], rows[3], rows[4]
+        g, n, at, c, words = *rows[1:5], rows[5:]
         lo = np.searchsorted(n, -(-percent * n // 100))
         out, size = [], 0
         for j in range(1, len(g)):
             i = np.arange(lo[j], j)
             i = i[c[i] != c[j]]
             i = i[_may(percent, n, at, i, j)]
+            i = i[near(n, words, i, np.full(len(i), j))]
             if len(i):
                 out.append(np.stack([np.minimum(g[i], g[j]), np.maximum(g[i], g[j])]))
                 size += len(i)
@@ -236,7 +263,7 @@ def _rest_pairs(percent: int):
             yield np.concatenate(out, 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros((5, 0), np.int64)
+        held = None
 
         def emit(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
             cuts = np.flatnonzero(rows[0, 1:] != rows[0, :-1]) + 1
@@ -246,11 +273,12 @@ def _rest_pairs(percent: int):
                 yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
 
         for batch in batches:
-            rows = np.concatenate([held, np.stack([batch.column(i).to_numpy() for i in range(5)])], 1)
+            rows = np.stack([column.to_numpy() for column in batch.columns])
+            rows = rows if held is None else np.concatenate([held, rows], 1)
             last = int(np.searchsorted(rows[0], rows[0, -1])) if rows.shape[1] else 0
             yield from emit(rows[:, :last])
             held = rows[:, last:]
-        if held.shape[1]:
+        if held is not None and held.shape[1]:
             yield from emit(held)
 
     return run
@@ -303,6 +331,18 @@ def verified(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> Dat
     return out
 
 
+def _expanded(met: DataFrame, entities: DataFrame, groups: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """Pairs of entities, not joined by links yet, that may link, of the group pairs `met` in which a group has several entities."""
+    several = groups.where("k > 1").select("g").distinct()
+    one = met.join(several.select(F.col("g").alias("a"), F.lit(True).alias("of_a")), "a", "left").join(several.select(F.col("g").alias("b"), F.lit(True).alias("of_b")), "b", "left")
+    who = entities.join(groups.select("n", "p1", "p2", "g"), ["n", "p1", "p2"]).join(known.select(F.col("node").alias("e"), "root"), "e", "left")
+    who = who.select("g", "e", "n", "k1", "k2", F.coalesce("root", "e").alias("c"))
+    x = one.where("of_a or of_b").select("a", "b").join(who, F.col("a") == F.col("g")).select("b", *[F.col(c).alias(f"x_{c}") for c in who.columns])
+    y = who.select(*[F.col(c).alias(f"y_{c}") for c in who.columns])
+    close = f"b = y_g and x_c != y_c and {100 + percent} * (bit_count(x_k1 ^ y_k1) + bit_count(x_k2 ^ y_k2)) <= {100 - percent} * (x_n + y_n)"
+    return x.join(y, F.expr(close)).select(F.least("x_e", "y_e").alias("a"), F.greatest("x_e", "y_e").alias("b"))
+
+
 def classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles and component_id of every document.
 
@@ -313,7 +353,8 @@ def classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     own n_shingles; a null doc_id has a null component. Extra columns are ignored.
 
     Documents of equal sets are one entity; entities of equal prefix and size are one group. Lists
-    of the groups that share a prefix shingle give the group pairs. They are first compared with a
+    of the groups that share a prefix shingle give the group pairs; pairs whose 128 odd bits differ too
+    much to link are left out. They are first compared with a
     few neighbours in each list; then, in lists that hold more than those, all pairs are compared
     that are not yet joined by links. So no pair is left out, and copies of one text are not
     compared all with all. Rows meet by shingle, by doc_id or by pair; only the frequent shingles,
@@ -321,12 +362,14 @@ def classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """
     docs = docs.select("doc_id", "text")
     base = saved(prefixes(docs, width, percent, frequent(docs, width)))
-    entities = saved(base.where("n > 0 and doc_id is not null").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("e"), F.min("p1").alias("p1"), F.min("p2").alias("p2")))
-    groups = saved(entities.groupBy("n", "p1", "p2").agg(F.min("e").alias("g"), F.count("*").alias("k")))
-    leaders = base.select("doc_id", "n", "s1", "s2", "p1", "p2", "prefix").join(groups.select(F.col("g").alias("doc_id"), "n", "p1", "p2"), ["doc_id", "n", "p1", "p2"], "left_semi").dropDuplicates(["doc_id", "s1"])
-    lists = leaders.select(F.col("doc_id").alias("g"), "n", "prefix").mapInArrow(_spread, "h long, g long, n long, at long")
+    entities = saved(base.where("n > 0 and doc_id is not null").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("e"), *[F.min(c).alias(c) for c in ("p1", "p2", "k1", "k2")]))
+    groups = entities.groupBy("n", "p1", "p2").agg(F.min("e").alias("g"), F.count("*").alias("k"), *[f(c).alias(f"{f.__name__[4:]}_{c}") for c in ("k1", "k2") for f in (F.bit_and, F.bit_or)])
+    groups = saved(groups.selectExpr("n", "p1", "p2", "g", "k", "and_k1 as k1", "and_k2 as k2", "~(and_k1 ^ or_k1) as m1", "~(and_k2 ^ or_k2) as m2"))
+    bits = ["k1", "k2", "m1", "m2"]
+    leaders = base.drop("s2", "k1", "k2").join(groups.drop("k").withColumnRenamed("g", "doc_id"), ["doc_id", "n", "p1", "p2"]).dropDuplicates(["doc_id", "s1"])
+    lists = leaders.select(F.col("doc_id").alias("g"), "n", "prefix", *bits).mapInArrow(_spread, "h long, g long, n long, at long, k1 long, k2 long, m1 long, m2 long")
     large = groups.where("k > 1").select("n", "p1", "p2")
-    members = entities.join(large, ["n", "p1", "p2"]).select(F.xxhash64("p1", "p2", "n").alias("h"), F.col("e").alias("g"), "n", F.lit(0).cast("long").alias("at"))
+    members = entities.join(large, ["n", "p1", "p2"]).selectExpr("xxhash64(p1, p2, n) as h", "e as g", "n", "0L as at", "k1", "k2", "-1L as m1", "-1L as m2")
     lists = saved(lists.unionByName(members))
     first = saved(lists.repartition("h").sortWithinPartitions("h", "n", "g").mapInArrow(_first_pairs(percent), "kind int, a long, b long").distinct())
     tried = first.where("kind = 0").select("a", "b")
@@ -337,20 +380,15 @@ def classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
         root = known.select(F.col("node").alias("g"), "root")
         # a group of several entities may have members elsewhere than its leader, so its pairs stay open
         apart = groups.where("k > 1").select("g", F.xxhash64("g").alias("own"))
-        again = saved(lists.join(more, "h", "left_semi").join(root, "g", "left").join(apart, "g", "left").select("h", "g", "n", "at", F.coalesce("own", "root", "g").alias("c")))
+        again = lists.join(more, "h", "left_semi").join(root, "g", "left").join(apart, "g", "left")
+        again = saved(again.select("h", "g", "n", "at", F.coalesce("own", "root", "g").alias("c"), *bits))
         several = again.groupBy("h").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x != y").select("h")
         open_lists = again.join(several, "h", "left_semi").repartition("h").sortWithinPartitions("h", "n", "g")
-        rest = saved(open_lists.mapInArrow(_rest_pairs(percent), "a long, b long").distinct())
-        met = tried.unionByName(rest)
-        # members of larger groups stand for themselves wherever their groups meet
-        who = entities.join(groups.where("k > 1"), ["n", "p1", "p2"]).select("g", "e")
-        left, right = who.select(F.col("g").alias("a"), F.col("e").alias("ea")), who.select(F.col("g").alias("b"), F.col("e").alias("eb"))
-        from_a = met.join(left, "a").join(right, "b", "left").select(F.col("ea").alias("x"), F.coalesce("eb", "b").alias("y"))
-        from_b = met.join(right, "b").select(F.col("a").alias("x"), F.col("eb").alias("y"))
-        wide = from_a.unionByName(from_b)
-        ra, rb = known.select(F.col("node").alias("x"), F.col("root").alias("rx")), known.select(F.col("node").alias("y"), F.col("root").alias("ry"))
-        wide = wide.join(ra, "x", "left").join(rb, "y", "left").where(F.coalesce("rx", "x") != F.coalesce("ry", "y")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-        todo = saved(rest.unionByName(wide).distinct().join(tried, ["a", "b"], "left_anti"))
+        rest = saved(open_lists.mapInArrow(_rest_pairs(percent, _near_sets(percent)), "a long, b long").distinct())
+        todo = rest
+        if large.take(1):
+            todo = todo.unionByName(_expanded(tried.unionByName(rest), entities, groups, known, percent))
+        todo = saved(todo.distinct().join(tried, ["a", "b"], "left_anti"))
         if todo.take(1):
             more_links = verified(docs, todo, width, percent)
             known = saved(components(known.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more_links)))
