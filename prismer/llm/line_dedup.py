@@ -44,6 +44,23 @@ def signatures(line: str, edits: int) -> set[int]:
     return out
 
 
+def odd_bits(line: str) -> int:
+    """Which of 64 classes hold an odd number of the line's pairs of neighbouring characters; an edit changes four at most."""
+    x = np.frombuffer(line.encode("utf-32-le"), np.uint32).astype(np.uint64)
+    at = (x[1:] * np.uint64(0x9E3779B97F4A7C15) + x[:-1] * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(58)
+    return int(np.bitwise_xor.reduce(np.uint64(1) << at).view(np.int64))
+
+
+def _near_lines(edits: int):
+    """Whether lines i and j may be within the edits, by their odd bits."""
+
+    def near(n: np.ndarray, words: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        k = words[0].view(np.uint64)
+        return np.bitwise_count(k[i] ^ k[j]) <= 4 * edits
+
+    return near
+
+
 def within(a: str, b: str, edits: int) -> bool:
     """Whether the edit distance of a and b is at most edits: Hyyro's bit-parallel rows along a diagonal band."""
     if len(a) < len(b):
@@ -109,29 +126,38 @@ def _id(line: str) -> int:
     return xxhash.xxh3_64_intdigest(line) - (1 << 63)
 
 
-def _first_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows (h, g) sorted by them: pairs (kind 0, a, b) of each row with the NEAR before it, the list's first and one half-way; all rows (kind 1, h, g) of longer lists."""
-    tail = [np.zeros(0, np.int64)] * 2
-    for batch in batches:
-        old = len(tail[0])
-        h, g = (np.concatenate([tail[i], batch.column(i).to_numpy()]) for i in range(2))
-        k, a, b = len(h), [], []
-        for d in range(1, NEAR + 1):
-            j = np.arange(max(old, d), k)
-            j = j[h[j - d] == h[j]]
-            a.append(g[j - d])
-            b.append(g[j])
-        j = np.arange(max(old, NEAR + 1), k)
-        j = j[h[j - NEAR - 1] == h[j]]
-        start = np.maximum.accumulate(np.where(np.append(True, h[1:] != h[:-1])[:k], np.arange(k), 0)) if k else np.zeros(0, int)
-        for i in (start[j], start[j] + (j - start[j]) // 2):
-            a.append(g[i])
-            b.append(g[j])
-        both = _distinct(np.concatenate(a), np.concatenate(b))
-        more = np.isin(h, np.unique(h[j]))
-        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(both.shape[1], np.int32)), pa.array(both[0]), pa.array(both[1])], ["kind", "a", "b"])
-        yield pa.RecordBatch.from_arrays([pa.array(np.ones(more.sum(), np.int32)), pa.array(h[more]), pa.array(g[more])], ["kind", "a", "b"])
-        tail = [x[max(0, k - NEAR - 1) :] for x in (h, g)]
+def _first_pairs(edits: int):
+    """From rows (h, g, k) sorted by h and g: pairs (kind 0, a, b) of each row with the NEAR before it, the list's first and one half-way, if their bits allow a link; all rows (kind 1, h, g, k) of longer lists."""
+    near = _near_lines(edits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tail = np.zeros((3, 0), np.int64)
+        for batch in batches:
+            old = tail.shape[1]
+            rows = np.concatenate([tail, np.stack([column.to_numpy() for column in batch.columns])], 1)
+            h, g, words = rows[0], rows[1], rows[2:]
+            n, first, second = len(h), [], []
+            for d in range(1, NEAR + 1):
+                j = np.arange(max(old, d), n)
+                j = j[h[j - d] == h[j]]
+                first.append(j - d)
+                second.append(j)
+            j = np.arange(max(old, NEAR + 1), n)
+            j = j[h[j - NEAR - 1] == h[j]]
+            start = np.maximum.accumulate(np.where(np.append(True, h[1:] != h[:-1])[:n], np.arange(n), 0)) if n else np.zeros(0, int)
+            for i in (start[j], start[j] + (j - start[j]) // 2):
+                first.append(i)
+                second.append(j)
+            i, k = np.concatenate(first), np.concatenate(second)
+            fit = near(g, words, i, k)
+            both = _distinct(g[i[fit]], g[k[fit]])
+            more = np.isin(h, np.unique(h[j]))
+            names = ["kind", "a", "b", "k"]
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(both.shape[1], np.int32)), pa.array(both[0]), pa.array(both[1]), pa.array(np.zeros(both.shape[1], np.int64))], names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(more.sum(), np.int32)), *[pa.array(x[more]) for x in rows]], names)
+            tail = rows[:, max(0, n - NEAR - 1) :]
+
+    return run
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, edits: int, shortest: int) -> DataFrame:
@@ -189,7 +215,7 @@ def dedup(docs: DataFrame, edits: int = EDITS, shortest: int = SHORTEST) -> Data
     named n_lines and n_dropped are replaced.
 
     Each distinct line gives its segments' hashes and those of the substrings it probes with; lines
-    that share a hash are candidates. Within such a list each is compared with a few others at
+    that share a hash are candidates, unless 64 bits of each tell that they are further apart. Within such a list each is compared with a few others at
     first, then, in longer lists, with all that links have not joined yet. No list is cut, and equal
     lines, however many, are one line.
     """
@@ -200,7 +226,7 @@ def dedup(docs: DataFrame, edits: int = EDITS, shortest: int = SHORTEST) -> Data
         yield from _rows(((_id(x), d, th, k) for d, th, k, x in _lines(batches, shortest)), ["l", "doc_id", "th", "k"], [pa.int64(), pa.int64(), pa.int64(), pa.int32()])
 
     def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def some() -> Iterator[tuple[int, int]]:
+        def some() -> Iterator[tuple[int, int, int]]:
             seen: set[int] = set()
             for _, _, _, line in _lines(batches, shortest):
                 i = _id(line)
@@ -208,21 +234,22 @@ def dedup(docs: DataFrame, edits: int = EDITS, shortest: int = SHORTEST) -> Data
                     if len(seen) > 500_000:
                         seen.clear()
                     seen.add(i)
+                    k = odd_bits(line)
                     for h in signatures(line, edits):
-                        yield h - (1 << 63), i
+                        yield h - (1 << 63), i, k
 
-        yield from _rows(some(), ["h", "g"], [pa.int64(), pa.int64()])
+        yield from _rows(some(), ["h", "g", "k"], [pa.int64()] * 3)
 
     where = saved(keyed.mapInArrow(occurrences, "l long, doc_id long, th long, k int"))
-    sorted_lists = keyed.mapInArrow(lists, "h long, g long").repartition("h").sortWithinPartitions("h", "g")
-    first = saved(sorted_lists.mapInArrow(_first_pairs, "kind int, a long, b long").distinct())
+    sorted_lists = keyed.mapInArrow(lists, "h long, g long, k long").repartition("h").sortWithinPartitions("h", "g")
+    first = saved(sorted_lists.mapInArrow(_first_pairs(edits), "kind int, a long, b long, k long").distinct())
     tried = first.where("kind = 0").select("a", "b")
     known = saved(components(_verified(keyed, tried, edits, shortest)))
-    more = first.where("kind = 1").select(F.col("a").alias("h"), F.col("b").alias("g"))
+    more = first.where("kind = 1").select(F.col("a").alias("h"), F.col("b").alias("g"), "k")
     if more.take(1):
-        again = saved(more.join(known.select(F.col("node").alias("g"), "root"), "g", "left").select("h", "g", F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("at"), F.coalesce("root", "g").alias("c")))
+        again = saved(more.join(known.select(F.col("node").alias("g"), "root"), "g", "left").select("h", "g", F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("at"), F.coalesce("root", "g").alias("c"), "k"))
         several = again.groupBy("h").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x != y").select("h")
-        rest = again.join(several, "h", "left_semi").repartition("h").sortWithinPartitions("h", "n", "g").mapInArrow(_rest_pairs(0, lambda n, words, i, j: np.ones(len(i), bool)), "a long, b long")
+        rest = again.join(several, "h", "left_semi").repartition("h").sortWithinPartitions("h", "n", "g").mapInArrow(_rest_pairs(0, _near_lines(edits)), "a long, b long")
         todo = saved(rest.distinct().join(tried, ["a", "b"], "left_anti"))
         if todo.take(1):
             links = _verified(keyed, todo, edits, shortest)
