@@ -183,7 +183,7 @@ class Pieces:
     generations of at most room entries each.
     """
 
-    def __init__(self, words: Callable[[list[str]], list[bytes]], odd: Callable[[list[str]], list[bytes]], special: dict[str, bytes], dtype: str, fold: bool = False, room: int = 300_000):
+    def __init__(self, words: Callable[[list[str]], list[bytes]], odd: Callable[[list[str]], list[bytes]], special: dict[str, bytes], dtype: str, fold: bool = False, room: int = 150_000):
         self.words, self.odd, self.special, self.dtype, self.fold, self.room = words, odd, special, np.dtype(dtype), fold, room
         self.caches: dict[bool, list[dict]] = {True: [{}, {}], False: [{}, {}]}
         self.cut = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
@@ -191,7 +191,7 @@ class Pieces:
     def _known(self, simple: bool, keys: list[str]) -> list[bytes]:
         """Values of distinct keys, from the cache or made; what is used stays in the young generation."""
         young, old = self.caches[simple]
-        out = [young.get(k) for k in keys]
+        out = list(map(young.get, keys))
         missing = [i for i, v in enumerate(out) if v is None]
         fresh = []
         for i in missing:
@@ -223,9 +223,9 @@ class Pieces:
         index = index.reshape(2, -1)
         if len(odd):
             index[0, odd], index[1, odd] = len(keys) + np.arange(len(odd)), -1
-            used = np.unique(index[:, simple.to_numpy(zero_copy_only=False)])
+            used = np.flatnonzero(np.bincount(index[:, simple.to_numpy(zero_copy_only=False)].ravel(), minlength=len(keys))).tolist()
             values: list = [b""] * len(keys)
-            for i, v in zip(used.tolist(), self._known(True, [keys[i] for i in used.tolist()])):
+            for i, v in zip(used, self._known(True, [keys[i] for i in used])):
                 values[i] = v
             values += self._known(False, pieces.take(pa.array(odd)).to_pylist())
         else:
@@ -253,7 +253,7 @@ class Pieces:
             out += [flat[a:b].tobytes() for a, b in zip([0, *ends[:-1]], ends)]
         return out
 
-    def slices(self, column: pa.Array, most: int = 8_000_000) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+    def slices(self, column: pa.Array, most: int = 16_000_000) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
         """For runs of rows of at most most bytes (one row at least): the rows, their values, where each row's values end."""
         column = pc.fill_null(column, "")
         sizes = np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64))
