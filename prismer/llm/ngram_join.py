@@ -17,6 +17,9 @@ from prismer.llm.common import components, dropped, saved
 FREQUENT = 100_000
 #: Neighbours in a list that are compared before components are known.
 NEAR = 4
+#: Words of 64 odd bits kept for each set.
+WORDS = 4
+KS, MS = [f"k{i + 1}" for i in range(WORDS)], [f"m{i + 1}" for i in range(WORDS)]
 U = np.uint64
 
 
@@ -83,22 +86,22 @@ def _sums(h: np.ndarray, begin: np.ndarray, salt: int) -> np.ndarray:
         return total[begin[1:]] - total[begin[:-1]]
 
 
-def _odd(h: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """128 bits in two words for each set: whether an odd number of its hashes fall in each of 128 classes."""
-    bit, second = U(1) << (h & U(63)), (h >> U(6)) & U(1)
-    total = [np.append(U(0), np.bitwise_xor.accumulate(bit * (second == w))) for w in (0, 1)]
+def _odd(h: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, ...]:
+    """64 bits in each of WORDS words for each set: whether an odd number of its hashes fall in each of so many classes."""
+    bit, second = U(1) << (h & U(63)), (h >> U(6)) % U(WORDS)
+    total = [np.append(U(0), np.bitwise_xor.accumulate(bit * (second == w))) for w in range(WORDS)]
     return tuple(t[begin[1:]] ^ t[begin[:-1]] for t in total)
 
 
 def _near_sets(percent: int):
-    """Whether groups i and j may hold linked sets, from words k1, k2 (odd bits) and m1, m2 (bits all members agree on).
+    """Whether groups i and j may hold linked sets, from words KS (odd bits) and MS (bits all members agree on).
 
     The bits in which two sets differ are at most the shingles that only one of them has, and the similarity bounds these.
     """
 
     def near(n: np.ndarray, words: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        k, m = words[:2].view(U), words[2:].view(U)
-        far = sum(np.bitwise_count((k[w][i] ^ k[w][j]) & m[w][i] & m[w][j]).astype(np.int64) for w in (0, 1))
+        k, m = words[:WORDS].view(U), words[WORDS:].view(U)
+        far = sum(np.bitwise_count((k[w][i] ^ k[w][j]) & m[w][i] & m[w][j]).astype(np.int64) for w in range(WORDS))
         return (100 + percent) * far <= (100 - percent) * (n[i] + n[j])
 
     return near
@@ -140,7 +143,7 @@ def frequent(docs: DataFrame, width: int, most: int = FREQUENT) -> tuple[np.ndar
 
 
 def prefixes(docs: DataFrame, width: int, percent: int, order: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """doc_id, n (set size), s1, s2 (the set's hash), p1, p2 (its prefix's hash), k1, k2 (its odd bits) and prefix.
+    """doc_id, n (set size), s1, s2 (the set's hash), p1, p2 (its prefix's hash), KS (its odd bits) and prefix.
 
     The prefix holds the n - ceil(t n) + 1 rarest shingles; two sets with similarity t or more
     share one of them. Rows without shingles are kept with n = 0.
@@ -156,7 +159,7 @@ def prefixes(docs: DataFrame, width: int, percent: int, order: tuple[np.ndarray,
             at = np.minimum(np.searchsorted(hot, h), max(0, len(hot) - 1)) if len(hot) else np.zeros(len(h), int)
             weight = np.where(hot[at] == h, count[at], 0) if len(hot) else np.zeros(len(h), int)
             s1, s2 = _sums(h, begin, 1), _sums(h, begin, 2)
-            k1, k2 = _odd(h, begin)
+            odd = _odd(h, begin)
             h = h[np.lexsort((h, weight, row))]
             size = np.where(n > 0, n - -(-n * percent // 100) + 1, 0)
             first = (np.arange(len(h)) - begin[row]) < size[row]
@@ -164,15 +167,15 @@ def prefixes(docs: DataFrame, width: int, percent: int, order: tuple[np.ndarray,
             starts = np.append(0, np.cumsum(size))
             raw = pa.Array.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer((starts * 8).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(h))])
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array(n), _signed(s1), _signed(s2), _signed(_sums(h, starts, 3)), _signed(_sums(h, starts, 4)), _signed(k1), _signed(k2), raw.cast(pa.binary())],
-                ["doc_id", "n", "s1", "s2", "p1", "p2", "k1", "k2", "prefix"],
+                [part.column(0), pa.array(n), _signed(s1), _signed(s2), _signed(_sums(h, starts, 3)), _signed(_sums(h, starts, 4)), *map(_signed, odd), raw.cast(pa.binary())],
+                ["doc_id", "n", "s1", "s2", "p1", "p2", *KS, "prefix"],
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, s1 long, s2 long, p1 long, p2 long, k1 long, k2 long, prefix binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, s1 long, s2 long, p1 long, p2 long, " + " long, ".join(KS) + " long, prefix binary")
 
 
 def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(g, n, prefix, k1, k2, m1, m2) to a row (h, g, n, at, k1, k2, m1, m2) for each shingle of the prefix, at being its place there."""
+    """(g, n, prefix, KS, MS) to a row (h, g, n, at, KS, MS) for each shingle of the prefix, at being its place there."""
     for batch in batches:
         raw = batch.column(2)
         size = pc.binary_length(raw).to_numpy() // 8
@@ -182,7 +185,7 @@ def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for a in range(0, len(h), 500_000):
             row = pa.array(rows[a : a + 500_000])
             first = [pa.array(h[a : a + 500_000]), batch.column(0).take(row), batch.column(1).take(row), pa.array(places[a : a + 500_000])]
-            yield pa.RecordBatch.from_arrays(first + [batch.column(i).take(row) for i in range(3, 7)], ["h", "g", "n", "at", "k1", "k2", "m1", "m2"])
+            yield pa.RecordBatch.from_arrays(first + [batch.column(i).take(row) for i in range(3, 3 + 2 * WORDS)], ["h", "g", "n", "at", *KS, *MS])
 
 
 def _may(percent: int, n: np.ndarray, at: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -202,7 +205,7 @@ def _distinct(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _first_pairs(percent: int):
-    """From rows (h, g, n, at, k1, k2, m1, m2) sorted by h, n and g: pairs a, b to compare at first (kind 0), and the h of lists that hold more (kind 1, in a).
+    """From rows (h, g, n, at, KS, MS) sorted by h, n and g: pairs a, b to compare at first (kind 0), and the h of lists that hold more (kind 1, in a).
 
     Each row is compared with the NEAR rows before it that have its h and a compatible size. Where
     there are more of these it is also compared with the list's first row here and with one
@@ -214,10 +217,10 @@ def _first_pairs(percent: int):
     near = _near_sets(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tail = np.zeros((8, 0), np.int64)
+        tail = np.zeros((4 + 2 * WORDS, 0), np.int64)
         for batch in batches:
             old = tail.shape[1]
-            rows = np.concatenate([tail, np.stack([batch.column(i).to_numpy() for i in range(8)])], 1)
+            rows = np.concatenate([tail, np.stack([batch.column(i).to_numpy() for i in range(4 + 2 * WORDS)])], 1)
             h, g, n, at, words = *rows[:4], rows[4:]
             k, a, b = len(h), [], []
             for d in range(1, NEAR + 1):
@@ -336,10 +339,10 @@ def _expanded(met: DataFrame, entities: DataFrame, groups: DataFrame, known: Dat
     several = groups.where("k > 1").select("g").distinct()
     one = met.join(several.select(F.col("g").alias("a"), F.lit(True).alias("of_a")), "a", "left").join(several.select(F.col("g").alias("b"), F.lit(True).alias("of_b")), "b", "left")
     who = entities.join(groups.select("n", "p1", "p2", "g"), ["n", "p1", "p2"]).join(known.select(F.col("node").alias("e"), "root"), "e", "left")
-    who = who.select("g", "e", "n", "k1", "k2", F.coalesce("root", "e").alias("c"))
+    who = who.select("g", "e", "n", *KS, F.coalesce("root", "e").alias("c"))
     x = one.where("of_a or of_b").select("a", "b").join(who, F.col("a") == F.col("g")).select("b", *[F.col(c).alias(f"x_{c}") for c in who.columns])
     y = who.select(*[F.col(c).alias(f"y_{c}") for c in who.columns])
-    close = f"b = y_g and x_c != y_c and {100 + percent} * (bit_count(x_k1 ^ y_k1) + bit_count(x_k2 ^ y_k2)) <= {100 - percent} * (x_n + y_n)"
+    close = f"b = y_g and x_c != y_c and {100 + percent} * ({' + '.join(f'bit_count(x_{k} ^ y_{k})' for k in KS)}) <= {100 - percent} * (x_n + y_n)"
     return x.join(y, F.expr(close)).select(F.least("x_e", "y_e").alias("a"), F.greatest("x_e", "y_e").alias("b"))
 
 
@@ -353,7 +356,7 @@ def classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     own n_shingles; a null doc_id has a null component. Extra columns are ignored.
 
     Documents of equal sets are one entity; entities of equal prefix and size are one group. Lists
-    of the groups that share a prefix shingle give the group pairs; pairs whose 128 odd bits differ too
+    of the groups that share a prefix shingle give the group pairs; pairs whose 64 * WORDS odd bits differ too
     much to link are left out. They are first compared with a
     few neighbours in each list; then, in lists that hold more than those, all pairs are compared
     that are not yet joined by links. So no pair is left out, and copies of one text are not
@@ -362,14 +365,14 @@ def classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """
     docs = docs.select("doc_id", "text")
     base = saved(prefixes(docs, width, percent, frequent(docs, width)))
-    entities = saved(base.where("n > 0 and doc_id is not null").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("e"), *[F.min(c).alias(c) for c in ("p1", "p2", "k1", "k2")]))
-    groups = entities.groupBy("n", "p1", "p2").agg(F.min("e").alias("g"), F.count("*").alias("k"), *[f(c).alias(f"{f.__name__[4:]}_{c}") for c in ("k1", "k2") for f in (F.bit_and, F.bit_or)])
-    groups = saved(groups.selectExpr("n", "p1", "p2", "g", "k", "and_k1 as k1", "and_k2 as k2", "~(and_k1 ^ or_k1) as m1", "~(and_k2 ^ or_k2) as m2"))
-    bits = ["k1", "k2", "m1", "m2"]
-    leaders = base.drop("s2", "k1", "k2").join(groups.drop("k").withColumnRenamed("g", "doc_id"), ["doc_id", "n", "p1", "p2"]).dropDuplicates(["doc_id", "s1"])
-    lists = leaders.select(F.col("doc_id").alias("g"), "n", "prefix", *bits).mapInArrow(_spread, "h long, g long, n long, at long, k1 long, k2 long, m1 long, m2 long")
+    entities = saved(base.where("n > 0 and doc_id is not null").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("e"), *[F.min(c).alias(c) for c in ("p1", "p2", *KS)]))
+    groups = entities.groupBy("n", "p1", "p2").agg(F.min("e").alias("g"), F.count("*").alias("k"), *[f(c).alias(f"{f.__name__[4:]}_{c}") for c in KS for f in (F.bit_and, F.bit_or)])
+    groups = saved(groups.selectExpr("n", "p1", "p2", "g", "k", *[f"and_{k} as {k}" for k in KS], *[f"~(and_{k} ^ or_{k}) as {m}" for k, m in zip(KS, MS)]))
+    bits = [*KS, *MS]
+    leaders = base.drop("s2", *KS).join(groups.drop("k").withColumnRenamed("g", "doc_id"), ["doc_id", "n", "p1", "p2"]).dropDuplicates(["doc_id", "s1"])
+    lists = leaders.select(F.col("doc_id").alias("g"), "n", "prefix", *bits).mapInArrow(_spread, "h long, g long, n long, at long, " + ", ".join(f"{c} long" for c in bits))
     large = groups.where("k > 1").select("n", "p1", "p2")
-    members = entities.join(large, ["n", "p1", "p2"]).selectExpr("xxhash64(p1, p2, n) as h", "e as g", "n", "0L as at", "k1", "k2", "-1L as m1", "-1L as m2")
+    members = entities.join(large, ["n", "p1", "p2"]).selectExpr("xxhash64(p1, p2, n) as h", "e as g", "n", "0L as at", *KS, *[f"-1L as {m}" for m in MS])
     lists = saved(lists.unionByName(members))
     first = saved(lists.repartition("h").sortWithinPartitions("h", "n", "g").mapInArrow(_first_pairs(percent), "kind int, a long, b long").distinct())
     tried = first.where("kind = 0").select("a", "b")
