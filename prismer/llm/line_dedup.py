@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from prismer.llm.common import components, dropped, saved
 from prismer.llm.ngram_join import NEAR, _distinct, _rest_pairs
 
-#: Edits up to which two lines are near; lines of fewer characters than SHORTEST are always kept.
+#: Edits up to which two lines are near; lines of fewer characters than SHORTEST have no near lines.
 EDITS, SHORTEST = 2, 20
 
 
@@ -98,12 +98,12 @@ def within(a: str, b: str, edits: int) -> bool:
     return score <= edits
 
 
-def _lines(batches: Iterator[pa.RecordBatch], shortest: int) -> Iterator[tuple[int, int, int, str]]:
-    """(doc_id, text hash, line number, line) of every line that is long enough."""
+def _lines(batches: Iterator[pa.RecordBatch], shortest: int, short: bool = False) -> Iterator[tuple[int, int, int, str]]:
+    """(doc_id, text hash, line number, line) of every line that is long enough, with `short` of every shorter one that is not blank too."""
     for batch in batches:
         for doc, th, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
             for k, line in enumerate((text or "").split("\n")):
-                if len(line) >= shortest:
+                if len(line) >= shortest or short and line.strip():
                     yield doc, th, k, line
 
 
@@ -204,12 +204,13 @@ def _plain_bits(ids: DataFrame, log: int = 23) -> np.ndarray:
     return out
 
 
-def dedup(docs: DataFrame, edits: int = EDITS, shortest: int = SHORTEST) -> DataFrame:
+def dedup(docs: DataFrame, edits: int = EDITS, shortest: int = SHORTEST, short: bool = False) -> DataFrame:
     """docs with repeated lines taken out of text, and n_lines, n_dropped.
 
     Lines are what stands between line feeds. Two lines of at least `shortest` characters are near
     when their edit distance, in code points, is at most `edits`; of each class of lines joined by
-    nearness the occurrence of the smallest (doc_id, line number) stays. Shorter lines stay. A null
+    nearness the occurrence of the smallest (doc_id, line number) stays. Shorter lines stay; with `short` those that are not blank
+    are classes of their own, equal lines only, and lose their repeats like the others. A null
     text stays null (0 lines), an empty one has one empty line; null doc_ids count as the greatest;
     rows equal in doc_id and text are treated alike; all rows stay, other columns are kept, columns
     named n_lines and n_dropped are replaced.
@@ -223,7 +224,7 @@ def dedup(docs: DataFrame, edits: int = EDITS, shortest: int = SHORTEST) -> Data
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("doc_id"), F.xxhash64("text").alias("th"), "text").where("text is not null")
 
     def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _rows(((_id(x), d, th, k) for d, th, k, x in _lines(batches, shortest)), ["l", "doc_id", "th", "k"], [pa.int64(), pa.int64(), pa.int64(), pa.int32()])
+        yield from _rows(((_id(x), d, th, k) for d, th, k, x in _lines(batches, shortest, short)), ["l", "doc_id", "th", "k"], [pa.int64(), pa.int64(), pa.int64(), pa.int32()])
 
     def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def some() -> Iterator[tuple[int, int, int]]:

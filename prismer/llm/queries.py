@@ -59,7 +59,7 @@ def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return line_dedup.dedup(docs).select("doc_id", "n_lines", "n_dropped", "text")
+    return line_dedup.dedup(docs, short=True).select("doc_id", "n_lines", "n_dropped", "text")
 
 
 def queries() -> dict:

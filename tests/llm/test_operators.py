@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 
 from prismer.llm import bpe, bpe_codec, fingerprints, line_dedup, near_vectors, ngram_join, packing, pii, token_counts, token_store, toxicity
-from prismer.llm.queries import vocabulary
+from prismer.llm.queries import op10_line_dedup, vocabulary
 
 BYTES, WORDS = vocabulary("byte_bpe_50k.json"), vocabulary("word_bpe_49k.json")
 ODD = [
@@ -159,6 +159,15 @@ def test_line_dedup(spark):
     assert {r.doc_id: r.text for r in line_dedup.dedup(docs(spark, texts)).collect()} == want
 
 
+def test_short_lines(spark, tmp_path):
+    long = "a line of more than twenty characters"
+    texts = [f"Un.\nAn èle.\nUn.\n\n \n{long}\nUn!", f"\n \nUn.\n{long}s\nLes Rech.\nLes Rech.", None, "", "Un.", "exactly 19 letters.\nexactly 19 letters,\nexactly 19 letters."]
+    want = [f"Un.\nAn èle.\n\n \n{long}\nUn!", "\n \nLes Rech.", None, "", "", "exactly 19 letters.\nexactly 19 letters,"]
+    docs(spark, texts, False).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.text, r.n_lines, r.n_dropped) for r in op10_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == {i: (y, 0 if x is None else x.count("\n") + 1, n) for i, (x, y, n) in enumerate(zip(texts, want, [1, 3, 0, 0, 1, 1]))}
+
+
 def test_pii(spark):
     texts = ["Mrs. Anna Smith and Mr. Smith, call (437) 555-0689 or (437) 555 0689. Card 4111 1111 1111 1111, 4111111111111111; a.b@mail.example.com A.B@mail.example.com 10.1.2.3", None, "", "nothing here, version 2.0.", "a.b@mail.example.com"]
     got = {r.doc_id: r for r in pii.replace(docs(spark, texts)).collect()}
