@@ -49,7 +49,7 @@ def shingle_sets(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
         out = np.zeros(len(h), U)
         for k in range(width):
             part = np.zeros(len(h), U)
-            part[: len(h) - k] = h[k:]
+            part[: max(0, len(h) - k)] = h[k:]
             out = mix(out + part + U(0x9E3779B97F4A7C15))
         full = (np.arange(len(h)) - begin[row]) <= n[row] - width
         keep_h, keep_row = out[full], row[full]

@@ -7,6 +7,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from prismer.llm import bpe, bpe_codec, fingerprints, line_dedup, near_vectors, ngram_join, packing, pii, token_counts, token_store, toxicity
@@ -120,6 +121,21 @@ def test_ngram_join(spark, width, percent):
     assert got == {i: (len(sets[i]), want[i]) for i in range(len(texts))}
 
 
+def test_short_parts(spark):
+    words = ["a", "b", "c", "d", "e", "f"]
+    for n in range(7):
+        h, begin = ngram_join.shingle_sets(pa.array([" ".join(words[:n])]), 5)
+        assert (len(h), begin.tolist()) == (max(n - 4, min(n, 1)), [0, len(h)])
+    large = "word " * 1_700_000
+    for n in range(1, 5):
+        text = " ".join(words[:n])
+        alone = ngram_join.classes(docs(spark, [text]).coalesce(1), 5, 80).collect()
+        assert [(r.doc_id, r.n_shingles, r.component_id) for r in alone] == [(0, 1, 0)]
+    texts = [x for n in range(1, 5) for x in (" ".join(words[:n]), large)]
+    parts = list(ngram_join._parts(iter([pa.RecordBatch.from_arrays([pa.array(range(8)), pa.array(texts)], ["doc_id", "text"])])))
+    assert [p.num_rows for p in parts] == [1] * 8 and [len(ngram_join.shingle_sets(p.column(1), 5)[0]) for p in parts] == [1] * 8
+
+
 def test_line_dedup(spark):
     def distance(a, b):
         row = list(range(len(b) + 1))
