@@ -15,18 +15,19 @@ OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Signora", "Г-жа", "Госпожа")
 MALE = ("Mr", "Herr", "Monsieur", "Señor", "Sr", "Signor", "Г-н", "Господин")
 NAME = r"(?:" + "|".join(sorted({*FEMALE, *MALE}, key=len, reverse=True)) + r")\.?(?: \p{Lu}[\p{L}'-]+){1,3}"
-#: Kinds of personal data and their patterns; the first that matches at a place holds.
+#: Kinds of personal data and their patterns; the first that matches at a place holds. Cards come after secrets (pattern()).
 KINDS = {
     "email": rf"(?<![\p{{L}}\p{{N}}._%+-])[\p{{L}}\p{{N}}._%+-]++@{LABEL}(?:\.{LABEL})+",
     "ip": rf"(?<![0-9.]){OCTET}(?:\.{OCTET}){{3}}(?![0-9]|\.[0-9])",
     "secret": r"(?<![A-Za-z0-9])(?:[0-9a-f]{32,}|[0-9A-F]{32,}|(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|sk-[A-Za-z0-9]{20,})(?![A-Za-z0-9])",
-    "card": r"(?<![\w+])\d(?:[ -]?\d){12,18}(?!\w)",
     "phone": r"(?<![\w+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\w)",
     "ssn": r"(?<!\w)\d{3}-\d{2}-\d{4}(?!\w)",
     "iban": r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?!\w)",
     "name": rf"(?<![\p{{L}}\p{{N}}]){NAME}",
 }
-ANY = "|".join(f"(?:{p})" for p in KINDS.values())
+BEFORE, AFTER = ("|".join(f"(?:{KINDS[k]})" for k in kinds) for kinds in (("email", "ip", "secret"), ("phone", "ssn", "iban", "name")))
+#: Digits of a card number, the greatest first, and texts that may hold one.
+CARD_DIGITS, MAYBE_CARD = range(19, 12, -1), r"(?<![\w+])\d(?:[ -]?\d){12}"
 #: What a text with personal data of these kinds must hold.
 HINT = r"[0-9@]|(?:" + "|".join(sorted({*FEMALE, *MALE})) + r")\.? \p{Lu}"
 #: Syllables of surrogate names.
@@ -39,9 +40,27 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def found(text: Column) -> Column:
-    """All personal data in a text, in order."""
-    return F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
+def _is_card(m: Column) -> Column:
+    """Whether the check sum of a number is that of a card."""
+    return _luhn(_digits(m)) % 10 == 0
+
+
+def pattern(text: Column) -> Column:
+    """The pattern of all personal data for one text: its card numbers are named one by one.
+
+    A card number is a run of 13 to 19 digits, with single spaces or hyphens between them, whose
+    Luhn sum ends in 0; of several that begin at a place the longest holds. Other runs are left to
+    the kinds after cards, so a telephone number or a card next to further digits is still found.
+    The work on a text follows its places times its distinct card numbers.
+    """
+    runs = F.concat(*[F.regexp_extract_all(text, F.lit(rf"(?<![\w+])(?=(\d(?:[ -]?\d){{{n - 1}}})(?!\w))"), F.lit(1)) for n in CARD_DIGITS])
+    named = lambda cards: F.when(F.size(cards) > 0, F.concat(F.lit(rf"{BEFORE}|(?:(?<![\w+])(?:"), F.array_join(cards, "|"), F.lit(rf")(?!\w))|{AFTER}")))
+    return F.coalesce(F.when(text.rlike(MAYBE_CARD), let(F.filter(F.array_distinct(runs), _is_card), named)), F.lit(f"{BEFORE}|{AFTER}"))
+
+
+def found(text: Column, any_kind: Column) -> Column:
+    """All personal data in a text, in order, by its pattern()."""
+    return F.when(text.rlike(HINT), F.regexp_extract_all(text, any_kind, F.lit(0))).otherwise(F.array().cast("array<string>"))
 
 
 def kind_of(m: Column) -> Column:
@@ -114,6 +133,10 @@ def _alike_chars(chars: Column, stream: Column, hexadecimal: Column) -> Column:
     return F.array_join(F.transform(chars, one), "")
 
 
+def _digits(m: Column) -> Column:
+    return F.transform(F.split(F.regexp_replace(m, r"\D", ""), ""), lambda c: c.cast("int"))
+
+
 def _luhn(digits: Column) -> Column:
     doubled = F.transform(F.reverse(digits), lambda d, i: F.when(i % 2 == 0, d).otherwise(d * 2 - F.when(d > 4, 9).otherwise(0)))
     return F.aggregate(doubled, F.lit(0), lambda a, d: a + d)
@@ -121,7 +144,7 @@ def _luhn(digits: Column) -> Column:
 
 def _card(m: Column, stream: Column) -> Column:
     """A number of the same length, grouping, first digit and check-sum remainder."""
-    digits = F.transform(F.split(F.regexp_replace(m, r"\D", ""), ""), lambda c: c.cast("int"))
+    digits = _digits(m)
     body = F.transform(F.slice(digits, F.lit(1), F.size(digits) - 1), lambda d, i: F.when(i == 0, d).otherwise(_number(stream, i) % 10))
     last = F.pmod(_luhn(digits) - _luhn(F.concat(body, F.array(F.lit(0)))), F.lit(10))
     chars = F.split(m, "")
@@ -176,7 +199,7 @@ def collisions(docs: DataFrame, key: str) -> DataFrame:
     The distinct entities are one table in the shared folder; each round compares surrogates by
     joins and partial aggregations and tries the next attempt for the losers, until none is left.
     """
-    mention = docs.select(F.explode(found(F.col("text"))).alias("m")).select(kind_of(F.col("m")).alias("kind"), norm_of(F.col("m")).alias("norm"), "m")
+    mention = docs.select("text", pattern(F.col("text")).alias("_any")).select(F.explode(found(F.col("text"), F.col("_any"))).alias("m")).select(kind_of(F.col("m")).alias("kind"), norm_of(F.col("m")).alias("norm"), "m")
     entities = saved(mention.groupBy("kind", "norm").agg(F.min("m").alias("m")))
     entities = saved(entities.withColumn("attempt", F.lit(0)).withColumn("new", norm_of(surrogate(F.col("m"), key, F.lit(0)))))
     while True:
@@ -204,7 +227,7 @@ def replace(docs: DataFrame, key: str = "surrogates", small: int = 5_000) -> Dat
     lost = collisions(docs, key)
     few = lost.limit(small + 1).collect()
     name = lambda m: F.concat(kind_of(m), F.lit("\x1f"), norm_of(m))
-    rows = docs.withColumn("_found", found(F.col("text")))
+    rows = docs.withColumn("_any", pattern(F.col("text"))).withColumn("_found", found(F.col("text"), F.col("_any")))
     if len(few) <= small:
         pairs = [F.lit(x) for r in few for x in (f"{r.kind}\x1f{r.norm}", r.attempt)]
         rows = rows.withColumn("_tries", F.create_map(*pairs) if pairs else F.lit(None).cast("map<string,int>"))
@@ -213,7 +236,7 @@ def replace(docs: DataFrame, key: str = "surrogates", small: int = 5_000) -> Dat
         tries = named.join(lost, ["kind", "norm"]).groupBy("_text").agg(F.map_from_entries(F.collect_list(F.struct(F.concat("kind", F.lit("\x1f"), "norm"), "attempt"))).alias("_tries"))
         rows = rows.withColumn("_text", F.sha2("text", 256)).join(tries, "_text", "left").drop("_text")
     attempt = lambda m: F.coalesce(F.try_element_at(F.col("_tries"), name(m)), F.lit(0))
-    gaps = F.split(F.col("text"), ANY, -1)
+    gaps = F.split(F.col("text"), F.col("_any"), -1)
     put = F.transform(F.col("_found"), lambda m, i: F.concat(surrogate(m, key, attempt(m)), F.get(gaps, i + 1)))
     text = F.when(F.size("_found") > 0, F.concat(F.get(gaps, F.lit(0)), F.array_join(put, ""))).otherwise(F.col("text"))
     return rows.withColumn("n_entities", F.coalesce(F.size("_found"), F.lit(0))).withColumn("text", text).select(*docs.columns, "n_entities")

@@ -197,6 +197,23 @@ def test_pii(spark):
     assert got[4].text in text
 
 
+def test_pii_card_sums(spark):
+    clean = ["order 9807915762804490 sent", "at 1699999999999 and 1-7-0-0-0-0-0-0-0-0-0-0-1", "a4111111111111111 4111111111111111b", "41111111111111111111", "4111  1111  1111  1111 "]
+    cards = ["4111111111111111", "5500 0055 5555 5559", "3782-822463-10005", "4222222222222", "6304000000000000000"]
+    mixed = ["9807915762804490 4111111111111111", "4111 1111 1111 1111 123", "77 4111 1111 1111 1111", "4111 1111 1111 1111 2nd", "9807915762804490 437-555-0689", "9807915762804490 10.1.2.3", "437-555-0689 437-555-0690", "4111111111111111@mail.example.com"]
+    texts = [*clean, *cards, *mixed]
+    got = [(r.text, r.n_entities) for r in pii.replace(docs(spark, texts)).orderBy("doc_id").collect()]
+    assert got[: len(clean)] == [(t, 0) for t in clean]
+    for (new, n), old in zip(got[len(clean) :], cards):
+        assert n == 1 and new != old and re.sub(r"\d", "0", new) == re.sub(r"\d", "0", old)
+        twice = [int(d) * (1 + i % 2) for i, d in enumerate(re.sub(r"\D", "", new)[::-1])]
+        assert sum(d - 9 * (d > 9) for d in twice) % 10 == 0
+    new, n = zip(*got[len(clean) + len(cards) :])
+    assert n == (1, 1, 1, 1, 1, 1, 2, 1)
+    assert not any(x in t for t in new for x in ("4111111111111111", "4111 1111 1111", "437-555", "10.1.2.3"))
+    assert [t[:17] for t in (new[0], new[4], new[5])] == ["9807915762804490 "] * 3 and new[1][-4:] == " 123" and new[2][:3] == "77 " and new[3][-4:] == " 2nd"
+
+
 def test_fingerprints(spark):
     texts = copies(7)[:60] + ["x y", "x y"]
     n = len(texts)
