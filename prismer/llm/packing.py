@@ -65,22 +65,19 @@ def best_fit(counts: dict[int, int], capacity: int) -> Counter:
     return bins
 
 
-def local_search(bins: Counter, capacity: int, rounds: int = 300, width: int = 60) -> Counter:
+def local_search(bins: Counter, capacity: int) -> Counter:
     """Move, swap one for one or two for one between underfull bins while the sum of squared fills grows.
 
     Each step takes from the emptiest kinds of bins and gives to fuller ones, for as many bins at a
     time as both kinds have; bins that lose all they hold go. It ends when the bins are as few as
-    the total length allows, when no step helps, or after `rounds` steps; a step looks at `width`
-    kinds on either side. Both bounds keep the number of kinds, and so all later tables, bounded.
+    the total length allows or when no step between any two kinds helps.
     """
     bins = Counter(bins)
     total = sum(n * sum(k) for k, n in bins.items())
     least = -(-total // capacity)
-    for _ in range(rounds):
-        if sum(bins.values()) <= least:
-            break
+    while sum(bins.values()) > least:
         slack = sorted((k for k in bins if sum(k) < capacity), key=lambda k: (sum(k), k))
-        step = next(filter(None, (_better(a, b, bins, capacity) for a in slack[:width] for b in reversed(slack[-width:]))), None)
+        step = next(filter(None, (_better(a, b, bins, capacity) for a in slack for b in reversed(slack))), None)
         if step is None:
             break
         a, b, new_a, new_b, n = step
@@ -98,7 +95,7 @@ def _better(a: Bin, b: Bin, bins: Counter, capacity: int) -> tuple | None:
         return None
     left = capacity - sum(b)
     ones, gives = set(a), set(b) | {0}
-    pairs = {(x, y) for i, x in enumerate(a) for y in a[i + 1 :]} if len(a) <= 64 else set()
+    pairs = {(x, y) for x in ones for y in ones if x > y} | {(x, x) for x in ones if a.count(x) > 1}
     best = max(
         ((t - y, xs, y) for xs, t in [*(((x,), x) for x in ones), *(((x, y), x + y) for x, y in pairs)] for y in gives if 0 < t - y <= left and not (len(xs) == 2 and not y)),
         default=None,

@@ -76,6 +76,18 @@ def test_packing(spark):
         assert held == counts
 
 
+def test_packing_ends_where_no_step_helps():
+    rng = random.Random(2)
+    counts = defaultdict(int)
+    for _ in range(300):
+        counts[rng.randint(300, 1400)] += 1
+    helps = lambda bins, capacity: any(packing._better(a, b, bins, capacity) for a in bins for b in bins if max(sum(a), sum(b)) < capacity)
+    first = packing.best_fit(counts, 2048)
+    then = packing.local_search(first, 2048)
+    least = -(-sum(k * n for k, n in counts.items()) // 2048)
+    assert least <= sum(then.values()) < sum(first.values()) and (sum(then.values()) == least or not helps(then, 2048))
+
+
 def word_sets(texts, width):
     low, out = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), {}
     for i, t in enumerate(texts):
