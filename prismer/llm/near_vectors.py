@@ -7,12 +7,15 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from prismer.llm.common import components, saved
 
 TILE = 1024
+#: Dimensions, the most frequent, whose vectors are turned to their principal axes; others are compared as they are.
+AXES = 32
 
 
 def _units(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -89,28 +92,33 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, tile: int = TIL
     The vectors of a label are ordered by their leading principal component and cut into tiles of
     `tile` rows. Two tiles meet only if their ranges of the leading three components come as near
     as the threshold needs; a meeting of two tiles is one unit of work, however large the label.
+    Vectors of dimensions beyond the AXES most frequent are not turned, which only costs pruning.
     Tasks return each row's number of links and the links of a spanning forest, never all pairs.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", F.col("label").cast("string").alias("label"))
     usable = rows.where("vec_id is not null and label is not null and embedding is not null and size(embedding) > 0").withColumn("dim", F.size("embedding"))
-    dims = [r[0] for r in usable.select("dim").distinct().limit(1000).collect()]
+    dims = [r[0] for r in usable.groupBy("dim").count().orderBy(F.desc("count"), "dim").limit(AXES + 1).collect()]
+    turned_dims, others = sorted(dims[:AXES]), len(dims) > AXES
     kind = "vec_id long, label string, dim int, c0 double, c1 double, c2 double, v binary"
     parts = []
-    for dim in sorted(dims):
-        axes = principal_axes(usable.where(F.col("dim") == dim), dim)
+    for dim in [*turned_dims, *[None] * others]:
+        some = usable.where(~F.col("dim").isin(turned_dims) if dim is None else F.col("dim") == dim)
+        axes = None if dim is None else principal_axes(some, dim)
 
-        def turn(batches: Iterator[pa.RecordBatch], dim=dim, axes=axes) -> Iterator[pa.RecordBatch]:
+        def turn(batches: Iterator[pa.RecordBatch], axes=axes) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                i, u = _units(batch.column(1), dim)
-                t = u @ axes
-                c = np.pad(t[:, :3], ((0, 0), (0, max(0, 3 - dim))))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(i)), batch.column(2).take(pa.array(i)), pa.array(np.full(len(i), dim, np.int32)), *[pa.array(c[:, k]) for k in range(3)], pa.array([x.tobytes() for x in t], pa.binary())],
-                    [x.split()[0] for x in kind.split(", ")],
-                )
-
-        parts.append(usable.where(F.col("dim") == dim).select("vec_id", "embedding", "label").mapInArrow(turn, kind))
+                for dim in pc.unique(batch.column(3)).to_pylist():
+                    part = batch.filter(pc.equal(batch.column(3), dim))
+                    i, u = _units(part.column(1), dim)
+                    t = u if axes is None else u @ axes
+                    c = np.pad(t[:, :3], ((0, 0), (0, max(0, 3 - dim))))
+                    yield pa.RecordBatch.from_arrays(
+                        [part.column(0).take(pa.array(i)), part.column(2).take(pa.array(i)), pa.array(np.full(len(i), dim, np.int32)), *[pa.array(c[:, k]) for k in range(3)], pa.array([x.tobytes() for x in t], pa.binary())],
+                        [x.split()[0] for x in kind.split(", ")],
+                    )
+
+        parts.append(some.select("vec_id", "embedding", "label", "dim").mapInArrow(turn, kind))
     own = rows.select("vec_id")
     if not parts:
         return own.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))

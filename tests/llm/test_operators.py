@@ -253,6 +253,12 @@ def test_near_vectors(spark):
     assert got == {i: (sum(link(i, j) for j in range(len(vec)) if j != i), want[i], want[i] == i) for i in range(len(vec))}
 
 
+def test_near_vectors_of_many_dimensions(spark):
+    rows = [(3 * d + k, [1.0 + j % 7 for j in range(d)] if k < 2 else [-1.0] * d, 1) for d in range(1, 1006) for k in range(3)]
+    got = near_vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()
+    assert {(r.vec_id, r.n_links, r.component_id, r.kept) for r in got} == {(i, int(i % 3 < 2), i - (i % 3 == 1), i % 3 != 1) for i, *_ in rows}
+
+
 def test_toxicity(spark):
     rng = random.Random(4)
     texts, labels = [], []
