@@ -189,7 +189,7 @@ def _surrogate(m: Column, kind: Column, s: Column) -> Column:
         .when(kind == "name", _name(m, s))
         .when(kind == "card", _card(m, s))
         .when((kind == "secret") & m.rlike("^[0-9A-F]+$"), F.upper(_alike(F.lower(m), s, F.lit(True))))
-        .otherwise(F.concat(lead, _alike(F.substring(m, F.length(lead) + 1, F.lit(1 << 20)), s, (kind == "secret") & m.rlike("^[0-9a-f]+$"))))
+        .otherwise(F.concat(lead, _alike(F.substring(m, F.length(lead) + 1, F.length(m)), s, (kind == "secret") & m.rlike("^[0-9a-f]+$"))))
     )
 
 

@@ -9,6 +9,7 @@ from collections import defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from prismer.llm import bpe, bpe_codec, fingerprints, line_dedup, near_vectors, ngram_join, packing, pii, token_counts, token_store, toxicity
 from prismer.llm.queries import op10_line_dedup, vocabulary
@@ -226,6 +227,13 @@ def test_pii_card_sums(spark):
     assert [t[:17] for t in (new[0], new[4], new[5])] == ["9807915762804490 "] * 3 and new[1][-4:] == " 123" and new[2][:3] == "77 " and new[3][-4:] == " 2nd"
 
 
+def test_pii_long_secret(spark, monkeypatch):
+    monkeypatch.setattr(pii, "_alike", lambda m, *_: m)
+    secrets = ["0a" * 600_000, "sk-" + "Zz9" * 400_000]
+    got = docs(spark, secrets).select(pii.surrogate(F.col("text"), "key", F.lit(0)).alias("new")).collect()
+    assert [r.new == x for r, x in zip(got, secrets)] == [True, True]
+
+
 def test_fingerprints(spark):
     texts = copies(7)[:60] + ["x y", "x y"]
     n = len(texts)
