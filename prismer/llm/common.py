@@ -5,10 +5,18 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
+#: The session's setting of the bytes of an Arrow batch, and what Python workers beside a small heap can hold several of.
+BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
+U = np.uint64
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +24,86 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def modest(spark: SparkSession) -> None:
+    """Let Arrow batches have BATCH_BYTES instead of Spark's default of 64 MB; a smaller setting stays."""
+    now = spark.conf.get(BATCH)
+    if not now.rstrip("b").isdigit() or int(now.rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(BATCH, str(BATCH_BYTES))
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """These names, lengthened where df has columns of such names (in any case)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        name = f"_{name}"
+        while name in taken:
+            name += "_"
+        taken.add(name)
+        out.append(name)
+    return out
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    """A bijective scrambling of 64-bit numbers."""
+    with np.errstate(over="ignore"):
+        x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> U(27))) * U(0x94D049BB133111EB)
+    return x ^ (x >> U(31))
+
+
+def parts(batches: Iterator[pa.RecordBatch], most: int = 2_000_000, text: int = 1) -> Iterator[pa.RecordBatch]:
+    """Batches cut so that the texts of their column number `text` have at most `most` bytes (one row at least)."""
+    for batch in batches:
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        a = 0
+        while a < batch.num_rows:
+            b = max(a + 1, int(np.searchsorted(sizes, (sizes[a - 1] if a else 0) + most, "right")))
+            yield batch.slice(a, b - a)
+            a = b
+
+
+def blocks(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.RecordBatch]:
+    """Rows that are sorted by their first columns, one batch for each value of these."""
+    held: list[pa.RecordBatch] = []
+
+    def joined() -> pa.RecordBatch:
+        return held[0] if len(held) == 1 else pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = np.stack([batch.column(i).to_numpy() for i in range(keys)])
+        if held and any(held[-1].column(i)[-1] != batch.column(i)[0] for i in range(keys)):
+            yield joined()
+            held = []
+        cuts = [*(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1).tolist(), batch.num_rows]
+        a = 0
+        for b in cuts:
+            held.append(batch.slice(a, b - a))
+            if b < batch.num_rows:
+                yield joined()
+                held = []
+            a = b
+    if held:
+        yield joined()
+
+
+def distinct_pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Unordered pairs of different numbers, each once, the smaller first."""
+    lo, hi = np.minimum(a, b), np.maximum(a, b)
+    use = lo < hi
+    order = np.lexsort((hi[use], lo[use]))
+    both = np.stack([lo[use][order], hi[use][order]])
+    new = np.ones(both.shape[1], bool)
+    new[1:] = (both[:, 1:] != both[:, :-1]).any(0)
+    return both[:, new]
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A fresh folder below spark.checkpoint.dir, which driver and executors share.
 

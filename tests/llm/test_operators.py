@@ -186,6 +186,28 @@ def test_line_dedup(spark):
     gone = {(i, k) for i, k, x in occ if first[cls[x]] != (i, k)}
     want = {i: None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if (i, k) not in gone) for i, t in enumerate(texts)}
     assert {r.doc_id: r.text for r in line_dedup.dedup(docs(spark, texts)).collect()} == want
+    keyed = docs(spark, texts).selectExpr("doc_id", "xxhash64(text) as th", "text").where("text is not null").repartition(3)
+    ids = dict(zip(lines, line_dedup._ids(lines).tolist()))
+    for few, most, chars in ((16, 1024, 8_000_000), (2, 3, 8_000_000), (2, 1024, 100), (2, 7, 700)):
+        root = {r.node: r.root for r in line_dedup.links(keyed, few=few, most=most, chars=chars).collect()}
+        got = defaultdict(set)
+        for x in lines:
+            got[root.get(ids[x], ids[x])].add(x)
+        hope = defaultdict(set)
+        for x in lines:
+            hope[cls[x]].add(x)
+        assert sorted(map(sorted, got.values())) == sorted(map(sorted, hope.values()))
+
+
+def test_line_dedup_of_odd_tables(spark):
+    many = "\n".join(f"line number {i % 7} of twenty" for i in range(20_000))
+    long = "a long line without an end " * 40_000
+    d = spark.createDataFrame([(1, many, 5, 6), (2, long, 5, 6), (3, long[:-1] + "x", 5, 6), (None, "a null doc_id has this line", 5, 6), (4, "a null doc_id has this line", 5, 6), (4, "a null doc_id has this line", 5, 6)], "doc_id long, text string, _lost int, `_d` int")
+    got = line_dedup.dedup(d).collect()
+    assert len(got) == 6 and all(r["_lost"] == 5 and r["_d"] == 6 for r in got)
+    by = {r.doc_id: r for r in got}
+    assert by[1].n_dropped == 19_999 and by[1].text == "line number 0 of twenty"
+    assert by[2].text == long and by[3].text == "" and by[None].text == "" and by[4].n_dropped == 0
 
 
 def test_short_lines(spark, tmp_path):
