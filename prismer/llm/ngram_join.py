@@ -11,25 +11,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prismer.llm.common import components, dropped, saved
+from prismer.llm.common import blocks, components, distinct_pairs, dropped, mix, modest, parts, saved
 
 #: Shingles known to be frequent that travel to every task; the order of the others is their hashes'.
 FREQUENT = 100_000
 #: Neighbours in a list that are compared before components are known.
 NEAR = 4
-#: Words of 64 odd bits kept for each set.
-WORDS = 4
+#: Words of 64 odd bits kept for each set in lists, and the least number of a sketch's classes.
+WORDS, CLASSES = 1, 256
 KS, MS = [f"k{i + 1}" for i in range(WORDS)], [f"m{i + 1}" for i in range(WORDS)]
 U = np.uint64
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    """A bijective scrambling of 64-bit numbers."""
-    x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> U(27))) * U(0x94D049BB133111EB)
-    return x ^ (x >> U(31))
-
-
 def shingle_sets(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of each text, ascending, one text after another; and where each text's begin (one more at the end).
 
@@ -69,17 +62,6 @@ def shingle_sets(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     return all_h, np.append(0, np.cumsum(np.bincount(all_row, minlength=len(lists))))
 
 
-def _parts(batches: Iterator[pa.RecordBatch], most: int = 8_000_000) -> Iterator[pa.RecordBatch]:
-    """Batches (key, text) cut so that their texts have at most `most` bytes (one row at least)."""
-    for batch in batches:
-        sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-        a = 0
-        while a < batch.num_rows:
-            b = max(a + 1, int(np.searchsorted(sizes, (sizes[a - 1] if a else 0) + most, "right")))
-            yield batch.slice(a, b - a)
-            a = b
-
-
 def _sums(h: np.ndarray, begin: np.ndarray, salt: int) -> np.ndarray:
     with np.errstate(over="ignore"):
         total = np.append(U(0), np.cumsum(mix(h + U(salt)), dtype=U))
@@ -93,6 +75,33 @@ def _odd(h: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, ...]:
     return tuple(t[begin[1:]] ^ t[begin[:-1]] for t in total)
 
 
+def sketches(h: np.ndarray, begin: np.ndarray) -> pa.Array:
+    """For each set how many of its hashes fall in each of so many classes, one byte a class (255 stands for more).
+
+    There are CLASSES classes, or from an eighth to a quarter of the set's size where that is more;
+    the classes of a shorter sketch are sums of those of a longer one.
+    """
+    n = np.diff(begin)
+    wide = np.where(n > 0, np.maximum(CLASSES, 1 << np.ceil(np.log2(np.maximum(1, n / 8))).astype(np.int64)), 0)
+    ends = np.cumsum(wide)
+    row = np.repeat(np.arange(len(n)), n)
+    at = (h >> U(20)).astype(np.int64) & (wide[row] - 1)
+    counts = np.minimum(np.bincount(at + (ends - wide)[row], minlength=int(ends[-1]) if len(n) else 0), 255).astype(np.uint8)
+    return pa.Array.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(np.append(0, ends).astype(np.int64)), pa.py_buffer(counts)]).cast(pa.binary())
+
+
+def folded(sketch: np.ndarray, wide: int) -> np.ndarray:
+    """A sketch of fewer classes, the same that the set itself would give."""
+    return sketch.astype(np.int64) if len(sketch) == wide else np.minimum(255, sketch.reshape(-1, wide).sum(0, dtype=np.int64))
+
+
+def alike(x: bytes, y: bytes, n: int, percent: int) -> bool:
+    """Whether two sets of n hashes together may link: classes that differ by d have d hashes at least that only one set has."""
+    p, q = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    wide = min(len(p), len(q))
+    return (100 + percent) * int(np.abs(folded(p, wide) - folded(q, wide)).sum()) <= (100 - percent) * n
+
+
 def _near_sets(percent: int):
     """Whether groups i and j may hold linked sets, from words KS (odd bits) and MS (bits all members agree on).
 
@@ -123,16 +132,20 @@ def frequent(docs: DataFrame, width: int, most: int = FREQUENT) -> tuple[np.ndar
         held, size = [], 0
 
         def counted() -> pa.RecordBatch:
-            x, n = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([_signed(x[n > 1]), pa.array(n[n > 1])], ["h", "n"])
-
-        for part in _parts(batches):
+            x = np.concatenate(held)
+            held.clear()
+            x.sort()
+            at = np.flatnonzero(np.append(True, x[1:] != x[:-1]))
+            n = np.diff(np.append(at, len(x)))
+            return pa.RecordBatch.from_arrays([_signed(x[at[n > 1]]), pa.array(n[n > 1])], ["h", "n"])
+
+        for part in parts(batches):
             h, _ = shingle_sets(part.column(1), width)
             held.append(h)
             size += len(h)
-            if size > 3_000_000:
+            if size > 2_000_000:
                 yield counted()
-                held, size = [], 0
+                size = 0
         if held:
             yield counted()
 
@@ -143,7 +156,7 @@ def frequent(docs: DataFrame, width: int, most: int = FREQUENT) -> tuple[np.ndar
 
 
 def prefixes(docs: DataFrame, width: int, percent: int, order: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """doc_id, n (set size), s1, s2 (the set's hash), p1, p2 (its prefix's hash), KS (its odd bits) and prefix.
+    """doc_id, n (set size), s1, s2 (the set's hash), p1, p2 (its prefix's hash), KS (its odd bits), prefix and sketch.
 
     The prefix holds the n - ceil(t n) + 1 rarest shingles; two sets with similarity t or more
     share one of them. Rows without shingles are kept with n = 0.
@@ -152,14 +165,14 @@ def prefixes(docs: DataFrame, width: int, percent: int, order: tuple[np.ndarray,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot, count = known.value
-        for part in _parts(batches):
+        for part in parts(batches):
             h, begin = shingle_sets(part.column(1), width)
             n = np.diff(begin)
             row = np.repeat(np.arange(len(n)), n)
             at = np.minimum(np.searchsorted(hot, h), max(0, len(hot) - 1)) if len(hot) else np.zeros(len(h), int)
             weight = np.where(hot[at] == h, count[at], 0) if len(hot) else np.zeros(len(h), int)
             s1, s2 = _sums(h, begin, 1), _sums(h, begin, 2)
-            odd = _odd(h, begin)
+            odd, sketch = _odd(h, begin), sketches(h, begin)
             h = h[np.lexsort((h, weight, row))]
             size = np.where(n > 0, n - -(-n * percent // 100) + 1, 0)
             first = (np.arange(len(h)) - begin[row]) < size[row]
@@ -167,11 +180,11 @@ def prefixes(docs: DataFrame, width: int, percent: int, order: tuple[np.ndarray,
             starts = np.append(0, np.cumsum(size))
             raw = pa.Array.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer((starts * 8).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(h))])
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array(n), _signed(s1), _signed(s2), _signed(_sums(h, starts, 3)), _signed(_sums(h, starts, 4)), *map(_signed, odd), raw.cast(pa.binary())],
-                ["doc_id", "n", "s1", "s2", "p1", "p2", *KS, "prefix"],
+                [part.column(0), pa.array(n), _signed(s1), _signed(s2), _signed(_sums(h, starts, 3)), _signed(_sums(h, starts, 4)), *map(_signed, odd), raw.cast(pa.binary()), sketch],
+                ["doc_id", "n", "s1", "s2", "p1", "p2", *KS, "prefix", "sketch"],
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, s1 long, s2 long, p1 long, p2 long, " + " long, ".join(KS) + " long, prefix binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, s1 long, s2 long, p1 long, p2 long, " + " long, ".join(KS) + " long, prefix binary, sketch binary")
 
 
 def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,16 +207,6 @@ def _may(percent: int, n: np.ndarray, at: np.ndarray, i: np.ndarray, j: np.ndarr
     return 100 * most >= percent * (n[i] + n[j] - most)
 
 
-def _distinct(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    lo, hi = np.minimum(a, b), np.maximum(a, b)
-    use = lo < hi
-    order = np.lexsort((hi[use], lo[use]))
-    both = np.stack([lo[use][order], hi[use][order]])
-    new = np.ones(both.shape[1], bool)
-    new[1:] = (both[:, 1:] != both[:, :-1]).any(0)
-    return both[:, new]
-
-
 def _first_pairs(percent: int):
     """From rows (h, g, n, at, KS, MS) sorted by h, n and g: pairs a, b to compare at first (kind 0), and the h of lists that hold more (kind 1, in a).
 
@@ -235,7 +238,7 @@ def _first_pairs(percent: int):
                 fit = _may(percent, n, at, i, j) & near(n, words, i, j)
                 a.append(g[i[fit]])
                 b.append(g[j[fit]])
-            both = _distinct(np.concatenate(a), np.concatenate(b))
+            both = distinct_pairs(np.concatenate(a), np.concatenate(b))
             hot = np.unique(h[j])
             yield pa.RecordBatch.from_arrays([pa.array(np.zeros(both.shape[1], np.int32)), pa.array(both[0]), pa.array(both[1])], ["kind", "a", "b"])
             yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(hot), np.int32)), pa.array(hot), pa.array(hot)], ["kind", "a", "b"])
@@ -244,45 +247,59 @@ def _first_pairs(percent: int):
     return run
 
 
-def _rest_pairs(percent: int, near):
-    """From rows (h, g, n, at, c, bits) sorted by h, n and g: all pairs of a list that may link, by near() too, and are of different components c."""
+def _numbered(most: int):
+    """From rows (h, ...) sorted by h: the rows with block, their place in their list over most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, seen = None, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            h = batch.column(0).to_numpy()
+            at = np.arange(len(h))
+            start = np.maximum.accumulate(np.where(np.append(True, h[1:] != h[:-1]), at, 0))
+            place = at - start + seen * ((start == 0) & (h[0] == last))
+            last, seen = h[-1], int(place[-1]) + 1
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(place // most)], [*batch.schema.names, "block"])
+
+    return run
+
+
+def _rest_pairs(percent: int):
+    """From rows (h, x, y, block, g, n, at, c, bits, sketch) of blocks x and y together: all pairs of rows of a block, or of the two, that may link and are of different components c."""
+    near = _near_sets(percent)
 
-    def of(rows: np.ndarray) -> Iterator[np.ndarray]:
-        g, n, at, c, words = *rows[1:5], rows[5:]
-        lo = np.searchsorted(n, -(-percent * n // 100))
-        out, size = [], 0
+    def of(block: np.ndarray, g: np.ndarray, n: np.ndarray, at: np.ndarray, c: np.ndarray, words: np.ndarray, sketch: list[bytes]) -> Iterator[np.ndarray]:
+        raw = [np.frombuffer(x, np.uint8) for x in sketch]
+        least = np.stack([folded(x, CLASSES) for x in raw]).astype(np.int16)
+        between = block.min() != block.max()
         for j in range(1, len(g)):
-            i = np.arange(lo[j], j)
-            i = i[c[i] != c[j]]
+            i = np.flatnonzero((c[:j] != c[j]) & (100 * np.minimum(n[:j], n[j]) >= percent * np.maximum(n[:j], n[j])) & ((block[:j] != block[j]) if between else True))
             i = i[_may(percent, n, at, i, j)]
             i = i[near(n, words, i, np.full(len(i), j))]
-            if len(i):
-                out.append(np.stack([np.minimum(g[i], g[j]), np.maximum(g[i], g[j])]))
-                size += len(i)
-                if size > 200_000:
-                    yield np.concatenate(out, 1)
-                    out, size = [], 0
-        if out:
-            yield np.concatenate(out, 1)
+            i = i[(100 + percent) * np.abs(least[i] - least[j]).sum(1, dtype=np.int64) <= (100 - percent) * (n[i] + n[j])]
+            i = [o for o in i.tolist() if min(len(raw[o]), len(raw[j])) == CLASSES or alike(sketch[o], sketch[j], n[o] + n[j], percent)]
+            if i:
+                yield np.stack([np.minimum(g[i], g[j]), np.maximum(g[i], g[j])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
+        held, size = [], 0
 
-        def emit(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-            cuts = np.flatnonzero(rows[0, 1:] != rows[0, :-1]) + 1
-            found = [x for part in np.split(rows, cuts, 1) for x in of(part)]
-            if found:
-                both = _distinct(*np.concatenate(found, 1))
-                yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
+        def emit() -> pa.RecordBatch:
+            both = distinct_pairs(*np.concatenate(held, 1))
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
 
-        for batch in batches:
-            rows = np.stack([column.to_numpy() for column in batch.columns])
-            rows = rows if held is None else np.concatenate([held, rows], 1)
-            last = int(np.searchsorted(rows[0], rows[0, -1])) if rows.shape[1] else 0
-            yield from emit(rows[:, :last])
-            held = rows[:, last:]
-        if held is not None and held.shape[1]:
-            yield from emit(held)
+        for rows in blocks(batches, 3):
+            x = np.stack([rows.column(i).to_numpy() for i in range(3, 8 + 2 * WORDS)])
+            for found in of(*x[:5], x[5:], rows.column(8 + 2 * WORDS).to_pylist()):
+                held.append(found)
+                size += found.shape[1]
+                if size > 200_000:
+                    yield emit()
+                    size = 0
+        if held:
+            yield emit()
 
     return run
 
@@ -297,6 +314,20 @@ def _bits(ids: DataFrame, log: int = 23) -> np.ndarray:
     return out
 
 
+def plausible(pairs: DataFrame, base: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of doc_ids whose sketches do not rule out a link: no linked pair is lost, and sets, which are far larger, move for the others only."""
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.column(2).to_pylist()
+            keep = [alike(x.as_buffer(), y.as_buffer(), z, percent) for x, y, z in zip(batch.column(3), batch.column(4), n)]
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    of = base.where("n > 0")
+    two = pairs.join(of.selectExpr("doc_id as a", "n as na", "sketch as x"), "a").join(of.selectExpr("doc_id as b", "n as nb", "sketch as y"), "b")
+    return two.selectExpr("a", "b", "na + nb as n", "x", "y").mapInArrow(check, "a long, b long").distinct()
+
+
 def verified(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) of doc_ids whose shingle sets reach the similarity, exactly; pairs is read several times."""
     spark = docs.sparkSession
@@ -310,7 +341,7 @@ def verified(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> Dat
         for batch in batches:
             place = batch.column(2).to_numpy()
             hit = (words[place >> 6] >> (place & 63)) & 1 == 1
-            for part in _parts(iter([batch.filter(pa.array(hit))])):
+            for part in parts(iter([batch.filter(pa.array(hit))])):
                 h, begin = shingle_sets(part.column(1), width)
                 raw = pa.Array.from_buffers(pa.large_binary(), part.num_rows, [None, pa.py_buffer((begin * 8).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(h))])
                 yield pa.RecordBatch.from_arrays([part.column(0), raw.cast(pa.binary())], ["id", "set"])
@@ -346,7 +377,7 @@ def _expanded(met: DataFrame, entities: DataFrame, groups: DataFrame, known: Dat
     return x.join(y, F.expr(close)).select(F.least("x_e", "y_e").alias("a"), F.greatest("x_e", "y_e").alias("b"))
 
 
-def classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+def classes(docs: DataFrame, width: int = 5, percent: int = 80, most: int = 1024) -> DataFrame:
     """doc_id, n_shingles and component_id of every document.
 
     Two documents link when their sets of word shingles have a Jaccard similarity of at least
@@ -359,24 +390,26 @@ def classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     of the groups that share a prefix shingle give the group pairs; pairs whose 64 * WORDS odd bits differ too
     much to link are left out. They are first compared with a
     few neighbours in each list; then, in lists that hold more than those, all pairs are compared
-    that are not yet joined by links. So no pair is left out, and copies of one text are not
+    that are not yet joined by links; such a list is cut into blocks of `most` rows, two of which meet
+    in a task. Pairs are held against the sets' sketches before any set is fetched. So no pair is left out, and copies of one text are not
     compared all with all. Rows meet by shingle, by doc_id or by pair; only the frequent shingles,
     of fixed number, and a bitmap of fixed size go to all tasks.
     """
+    modest(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     base = saved(prefixes(docs, width, percent, frequent(docs, width)))
     entities = saved(base.where("n > 0 and doc_id is not null").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("e"), *[F.min(c).alias(c) for c in ("p1", "p2", *KS)]))
     groups = entities.groupBy("n", "p1", "p2").agg(F.min("e").alias("g"), F.count("*").alias("k"), *[f(c).alias(f"{f.__name__[4:]}_{c}") for c in KS for f in (F.bit_and, F.bit_or)])
     groups = saved(groups.selectExpr("n", "p1", "p2", "g", "k", *[f"and_{k} as {k}" for k in KS], *[f"~(and_{k} ^ or_{k}) as {m}" for k, m in zip(KS, MS)]))
     bits = [*KS, *MS]
-    leaders = base.drop("s2", *KS).join(groups.drop("k").withColumnRenamed("g", "doc_id"), ["doc_id", "n", "p1", "p2"]).dropDuplicates(["doc_id", "s1"])
+    leaders = base.drop("s2", "sketch", *KS).join(groups.drop("k").withColumnRenamed("g", "doc_id"), ["doc_id", "n", "p1", "p2"]).dropDuplicates(["doc_id", "s1"])
     lists = leaders.select(F.col("doc_id").alias("g"), "n", "prefix", *bits).mapInArrow(_spread, "h long, g long, n long, at long, " + ", ".join(f"{c} long" for c in bits))
     large = groups.where("k > 1").select("n", "p1", "p2")
     members = entities.join(large, ["n", "p1", "p2"]).selectExpr("xxhash64(p1, p2, n) as h", "e as g", "n", "0L as at", *KS, *[f"-1L as {m}" for m in MS])
     lists = saved(lists.unionByName(members))
     first = saved(lists.repartition("h").sortWithinPartitions("h", "n", "g").mapInArrow(_first_pairs(percent), "kind int, a long, b long").distinct())
     tried = first.where("kind = 0").select("a", "b")
-    links = verified(docs, tried, width, percent)
+    links = verified(docs, saved(plausible(tried, base, percent)), width, percent)
     known = saved(components(links))
     more = first.where("kind = 1").select(F.col("a").alias("h")).distinct()
     if more.take(1) or large.take(1):
@@ -386,15 +419,25 @@ def classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
         again = lists.join(more, "h", "left_semi").join(root, "g", "left").join(apart, "g", "left")
         again = saved(again.select("h", "g", "n", "at", F.coalesce("own", "root", "g").alias("c"), *bits))
         several = again.groupBy("h").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x != y").select("h")
-        open_lists = again.join(several, "h", "left_semi").repartition("h").sortWithinPartitions("h", "n", "g")
-        rest = saved(open_lists.mapInArrow(_rest_pairs(percent, _near_sets(percent)), "a long, b long").distinct())
+        kinds = ", ".join(f"{c} long" for c in ("h", "g", "n", "at", "c", *bits, "block"))
+        numbered = saved(again.join(several, "h", "left_semi").repartition("h").sortWithinPartitions("h", "n", "g").mapInArrow(_numbered(most), kinds))
+        last = numbered.groupBy("h").agg(F.max("block").alias("last"))
+        met = numbered.join(last, "h").withColumn("other", F.explode(F.expr("sequence(0L, last)")))
+        met = met.selectExpr("h", "least(block, other) as x", "greatest(block, other) as y", "block", "g", "n", "at", "c", *bits)
+        with_sketch = met.join(base.where("n > 0").selectExpr("doc_id as g", "sketch").dropDuplicates(["g"]), "g")
+        rest = with_sketch.select("h", "x", "y", "block", "g", "n", "at", "c", *bits, "sketch").repartition("h", "x", "y").sortWithinPartitions("h", "x", "y")
+        rest = saved(rest.mapInArrow(_rest_pairs(percent), "a long, b long").distinct())
         todo = rest
         if large.take(1):
-            todo = todo.unionByName(_expanded(tried.unionByName(rest), entities, groups, known, percent))
+            todo = todo.unionByName(plausible(_expanded(tried.unionByName(rest), entities, groups, known, percent).distinct(), base, percent))
         todo = saved(todo.distinct().join(tried, ["a", "b"], "left_anti"))
         if todo.take(1):
             more_links = verified(docs, todo, width, percent)
             known = saved(components(known.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more_links)))
+        for done in (again, numbered, rest, todo):
+            dropped(done)
+    for done in (lists, first, groups):
+        dropped(done)
     root = known.select(F.col("node").alias("e"), "root")
     by_set = entities.join(root, "e", "left").select("s1", "s2", "n", F.coalesce("root", "e").alias("c"))
     out = base.select("doc_id", "n", "s1", "s2").join(by_set, ["s1", "s2", "n"], "left")

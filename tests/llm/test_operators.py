@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from prismer.llm import bpe, bpe_codec, fingerprints, line_dedup, near_vectors, ngram_join, packing, pii, token_counts, token_store, toxicity
+from prismer.llm.common import parts
 from prismer.llm.queries import op10_line_dedup, vocabulary
 
 BYTES, WORDS = vocabulary("byte_bpe_50k.json"), vocabulary("word_bpe_49k.json")
@@ -36,6 +37,13 @@ def test_tokens(spark, tmp_path):
         for j in range(0, min(len(t or ""), 60)):
             assert token_counts.count_at(got[i].prefix_steps, j) == len(lib.encode(t[:j], add_special_tokens=False).ids)
     assert token_counts.cut_at(got[10].prefix_steps, 0) == 0
+    rng, counter = random.Random(5), token_counts.counter(BYTES)
+    for _ in range(300):
+        x = "".join(rng.choice(["'", "'s", "'ll", "'r", " ", "  ", "\n", "a", "don", "é", "日", "!", "1", "\t "]) for _ in range(rng.randrange(12)))
+        steps = counter.texts([x])[0]
+        assert [token_counts.count_at(steps, j) for j in range(len(x) + 1)] == [len(lib.encode(x[:j], add_special_tokens=False).ids) for j in range(len(x) + 1)]
+    for x in ("'" * 100_000, "a'" * 50_000, " " * 100_000 + "x", "it's " * 20_000):
+        assert token_counts.count_at(counter.texts([x])[0], len(x)) == len(lib.encode(x, add_special_tokens=False).ids)
     path = f"file://{tmp_path}/orc"
     token_store.write(d, path, BYTES)
     at = 0
@@ -130,8 +138,26 @@ def test_ngram_join(spark, width, percent):
     texts = copies(width)
     sets = word_sets(texts, width)
     want = joined(len(texts), lambda i, j: bool(sets[i]) and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]) and bool(sets[j]))
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.classes(docs(spark, texts), width, percent).collect()}
-    assert got == {i: (len(sets[i]), want[i]) for i in range(len(texts))}
+    for most in (1024, 3):
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.classes(docs(spark, texts), width, percent, most).collect()}
+        assert got == {i: (len(sets[i]), want[i]) for i in range(len(texts))}
+
+
+def test_sketches():
+    rng = np.random.default_rng(3)
+    for size in (3, 200, 5000, 40_000):
+        a = rng.integers(0, 1 << 63, size).astype(np.uint64)
+        b = np.concatenate([a[: size * 19 // 20], rng.integers(0, 1 << 63, size // 20).astype(np.uint64)])
+        c = rng.integers(0, 1 << 63, size).astype(np.uint64)
+        x, y, z = ngram_join.sketches(np.concatenate([a, b, c]), np.cumsum([0, len(a), len(b), len(c)])).to_pylist()
+        apart = lambda p, q: len(np.setxor1d(p, q))
+        for percent in (80, 90):
+            for p, q, s, t in ((a, b, x, y), (a, c, x, z)):
+                linked = 100 * (len(p) + len(q) - apart(p, q)) / 2 >= percent * (len(p) + len(q) + apart(p, q)) / 2
+                assert ngram_join.alike(s, t, len(p) + len(q), percent) or not linked
+        assert size < 200 or not ngram_join.alike(x, z, 2 * size, 80)
+        wide = np.frombuffer(x, np.uint8)
+        assert (ngram_join.folded(wide, 256) == np.minimum(255, np.bincount((a >> np.uint64(20)).astype(np.int64) & 255, minlength=256))).all()
 
 
 def test_short_parts(spark):
@@ -145,8 +171,8 @@ def test_short_parts(spark):
         alone = ngram_join.classes(docs(spark, [text]).coalesce(1), 5, 80).collect()
         assert [(r.doc_id, r.n_shingles, r.component_id) for r in alone] == [(0, 1, 0)]
     texts = [x for n in range(1, 5) for x in (" ".join(words[:n]), large)]
-    parts = list(ngram_join._parts(iter([pa.RecordBatch.from_arrays([pa.array(range(8)), pa.array(texts)], ["doc_id", "text"])])))
-    assert [p.num_rows for p in parts] == [1] * 8 and [len(ngram_join.shingle_sets(p.column(1), 5)[0]) for p in parts] == [1] * 8
+    cut = list(parts(iter([pa.RecordBatch.from_arrays([pa.array(range(8)), pa.array(texts)], ["doc_id", "text"])]), 8_000_000))
+    assert [p.num_rows for p in cut] == [1] * 8 and [len(ngram_join.shingle_sets(p.column(1), 5)[0]) for p in cut] == [1] * 8
 
 
 def test_line_dedup(spark):
