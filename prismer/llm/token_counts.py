@@ -11,6 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from prismer.llm import bpe
+from prismer.llm.common import modest
 
 
 def _word(t: bpe.Table, word: str) -> list[int]:
@@ -54,16 +55,30 @@ def counter(path: str) -> bpe.Pieces:
     """
     t, split = bpe.table(path), bpe.library(path).pre_tokenizer.pre_tokenize_str
 
-    @lru_cache(maxsize=300_000)
+    @lru_cache(maxsize=150_000)
     def word(w: str) -> bytes:
         counts = _word(t, w)
         return _steps([c for c, after in zip(counts, [*w[1:], ""]) if after not in INNER])
 
     def unit(u: str) -> bytes:
         if "'" in u or u[:2].isspace() and len(u) > 1:  # a prefix may be split otherwise than the whole
-            return _steps([sum(_word(t, w)[-1] for w, _ in split(u[:j])) for j in range(1, len(u) + 1)])
+            return _steps(prefixes(u))
         return b"".join([word(w) for w, _ in split(u)])
 
+    def prefixes(u: str) -> list[int]:
+        """The counts of u's prefixes. One that ends in a pre-token has the pre-tokens before it, but for two cases: a contraction is no pre-token before it is whole, and blanks that end a prefix are one pre-token."""
+        out, earlier, before, last = [], 0, 0, ""
+        for w, (a, b) in split(u):
+            raw, here = u[a:b], (before + np.cumsum(np.frombuffer(word(w), np.int8), dtype=np.int64)).tolist()
+            after = here[-1]
+            if raw[0] == "'" and raw[1:].isalpha():
+                here[:-1] = [before + sum(_word(t, x)[-1] for x, _ in split(raw[:j])) for j in range(1, len(raw))]
+            elif last.isspace() and raw[0].isspace():
+                here[0] = earlier + _word(t, bpe.mapped(last + raw[0]))[-1]
+            out += here
+            earlier, before, last = before, after, raw
+        return out
+
     def odd(texts: list[str]) -> list[bytes]:
         return [b"".join([unit(u) for u in bpe.UNITS.findall(x)]) for x in texts]
 
@@ -114,6 +129,7 @@ def prefix_counts(docs: DataFrame, path: str) -> DataFrame:
                     ["doc_id", "n_bytes", "n_tokens", "prefix_steps"],
                 )
 
+    modest(docs.sparkSession)
     return docs.select(docs["doc_id"].cast("long"), docs["text"]).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, prefix_steps binary")
 
 
