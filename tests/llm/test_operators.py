@@ -22,6 +22,9 @@ ODD = [
 ]
 
 
+KEY = "a key of tests"
+
+
 def docs(spark, texts, extra=True):
     rows = [(i, t, "x", 1) for i, t in enumerate(texts)]
     d = spark.createDataFrame(rows, "doc_id long, text string, score string, n_entities int")
@@ -247,7 +250,7 @@ def test_short_lines(spark, tmp_path):
 
 def test_pii(spark):
     texts = ["Mrs. Anna Smith and Mr. Smith, call (437) 555-0689 or (437) 555 0689. Card 4111 1111 1111 1111, 4111111111111111; a.b@mail.example.com A.B@mail.example.com 10.1.2.3", None, "", "nothing here, version 2.0.", "a.b@mail.example.com"]
-    got = {r.doc_id: r for r in pii.replace(docs(spark, texts)).collect()}
+    got = {r.doc_id: r for r in pii.replace(docs(spark, texts), KEY).collect()}
     text = got[0].text
     assert got[3].text == texts[3] and got[1].text is None and got[2].text == "" and got[1].n_entities == 0
     for secret in ("Anna", "555-0689", "4111", "a.b@mail", "10.1.2.3"):
@@ -263,7 +266,7 @@ def test_pii_card_sums(spark):
     cards = ["4111111111111111", "5500 0055 5555 5559", "3782-822463-10005", "4222222222222", "6304000000000000000"]
     mixed = ["9807915762804490 4111111111111111", "4111 1111 1111 1111 123", "77 4111 1111 1111 1111", "4111 1111 1111 1111 2nd", "9807915762804490 437-555-0689", "9807915762804490 10.1.2.3", "437-555-0689 437-555-0690", "4111111111111111@mail.example.com"]
     texts = [*clean, *cards, *mixed]
-    got = [(r.text, r.n_entities) for r in pii.replace(docs(spark, texts)).orderBy("doc_id").collect()]
+    got = [(r.text, r.n_entities) for r in pii.replace(docs(spark, texts), KEY).orderBy("doc_id").collect()]
     assert got[: len(clean)] == [(t, 0) for t in clean]
     for (new, n), old in zip(got[len(clean) :], cards):
         assert n == 1 and new != old and re.sub(r"\d", "0", new) == re.sub(r"\d", "0", old)
@@ -278,10 +281,50 @@ def test_pii_card_sums(spark):
 def test_pii_long_secret(spark, monkeypatch):
     monkeypatch.setattr(pii, "_alike", lambda m, *_: m)
     secrets = ["0a" * 600_000, "sk-" + "Zz9" * 400_000]
-    got = docs(spark, secrets).select(pii.surrogate(F.col("text"), "key", F.lit(0)).alias("new")).collect()
+    got = docs(spark, secrets).select(pii.surrogate(F.col("text"), "key", lambda *_: F.lit(0)).alias("new")).collect()
     assert [r.new == x for r, x in zip(got, secrets)] == [True, True]
 
 
+def test_pii_names_scripts_and_keys(spark):
+    texts = [
+        "Mrs. Anna Smith met Mrs Anna Smith, Mrs. Smith, Ms SMITH? and Mr. Smith.", "Mr. Adam Brown-Jones and Mr Brown-Jones", "Г-жа Анна Иванова и Г-жа Иванова",
+        "write to иван@почта.рф or ΑΒγ@mail.example.com", "No title: Anna Smith", "Frau Müller, Frau Anna Müller",
+    ]
+    got = [r.text for r in pii.replace(docs(spark, texts), KEY).orderBy("doc_id").collect()]
+    a = re.fullmatch(r"Mrs\. (\w+) (\w+) met Mrs (\w+) (\w+), Mrs\. (\w+), Ms (\w+)\? and Mr\. (\w+)\.", got[0])
+    assert a[1] == a[3] != "Anna" and a[2] == a[4] == a[5] == a[6] != a[7] and a[7].endswith("o") and a[2].endswith("a")
+    b = re.fullmatch(r"Mr\. (\w+) (\w+) and Mr (\w+)", got[1])
+    assert b[2] == b[3] != b[1]
+    c = re.fullmatch(r"Г-жа ([А-Яа-я]+ва) ([А-Яа-я]+ва) и Г-жа ([А-Яа-я]+ва)", got[2])
+    assert c[2] == c[3] and "Анна" not in got[2] and got[4] == texts[4]
+    assert re.fullmatch(r"write to [а-я]{4}@[а-я]{5}\.example or [Α-Ω]{2}[α-ω]@[a-z]{4}\.[a-z]{7}\.example", got[3]), got[3]
+    assert got[5].split(",")[0].split()[1] == got[5].split()[-1]
+    other = [r.text for r in pii.replace(docs(spark, texts), "another key").orderBy("doc_id").collect()]
+    assert other[0] != got[0] and other[4] == got[4]
+
+
+def test_pii_distinct(spark):
+    """Of 12,000 addresses some first surrogates collide; the mapping is one to one, alike everywhere, and hits no address of the corpus."""
+    rng = random.Random(9)
+    ips = sorted({f"10.{rng.randrange(256)}.{rng.randrange(256)}.{rng.randrange(1, 255)}" for _ in range(12_000)})
+    d = docs(spark, [" ".join(ips[i : i + 100]) for i in range(0, len(ips), 100)] + [" ".join(ips[:50])] * 2)
+    mentioned = pii.mentions(d)
+    assert mentioned.select("norm").distinct().count() == len(ips) and pii.collisions(mentioned, KEY).count() > 0
+    got = [r.text.split(" ") for r in pii.replace(d, KEY).orderBy("doc_id").collect()]
+    new = [x for t in got[:-2] for x in t]
+    assert len(set(new)) == len(new) == len(ips) and not set(new) & set(ips) and got[-1] == got[-2] == new[:50]
+
+
+def test_pii_odd_tables(spark):
+    long = ["a@a" + ".a" * 200_000, "0a" * 16_000, "x-" * 100_000 + "@", "a@" * 50_000, "1." * 100_000, " ".join(["a.b@c.de"] * 3_000)]
+    d = spark.createDataFrame([(i, t, "k", 1, 2) for i, t in enumerate([*long, None, "", "x"])], "doc_id long, text string, _found string, _tries int, _any int")
+    got = {r.doc_id: r for r in pii.replace(d, KEY).collect()}
+    assert all((r["_found"], r["_tries"], r["_any"]) == ("k", 1, 2) for r in got.values()) and len(got) == len(long) + 3
+    assert re.fullmatch(r"[0-9a-f]{32000}", got[1].text) and got[1].text != long[1] and got[1].n_entities == 1
+    assert got[0].n_entities == 1 and got[0].text.endswith(".example") and got[5].n_entities == 3000 and len(set(got[5].text.split(" "))) == 1
+    assert got[6].text is None and got[7].text == "" and got[8].text == "x"
+
+
 def test_fingerprints(spark):
     texts = copies(7)[:60] + ["x y", "x y"]
     n = len(texts)
@@ -335,6 +378,6 @@ def test_toxicity(spark):
 
 def test_empty_tables(spark):
     none = docs(spark, ["x"]).where("doc_id < 0")
-    frames = (token_counts.prefix_counts(none, BYTES), packing.pack(none, BYTES), ngram_join.classes(none), line_dedup.dedup(none), pii.replace(none), fingerprints.edited_pairs(none), bpe_codec.encode(none, WORDS))
+    frames = (token_counts.prefix_counts(none, BYTES), packing.pack(none, BYTES), ngram_join.classes(none), line_dedup.dedup(none), pii.replace(none, KEY), fingerprints.edited_pairs(none), bpe_codec.encode(none, WORDS))
     for frame in frames:
         assert frame.collect() == []
