@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from prismer.llm import line_dedup, ngram_join, packing, pii, toxicity
 from prismer.llm.common import saved, table
-from prismer.llm.queries import vocabulary
+from prismer.llm.queries import secret_key, vocabulary
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +35,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with personal data replaced by surrogates; n_chars follows."""
-    out = pii.replace(docs)
+    out = pii.replace(docs, secret_key(spark))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("n_entities") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
