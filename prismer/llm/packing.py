@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from prismer.llm import bpe
-from prismer.llm.common import saved
+from prismer.llm.common import modest, saved
 
 #: A kind of bin: its lengths, descending.
 Bin = tuple[int, ...]
@@ -182,6 +182,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0,
     the driver); the pieces are then dealt to places by their rank among those of equal length,
     which tasks count apart, so no length's pieces come together in one task.
     """
+    modest(docs.sparkSession)
     rows = saved(pieces(docs, tokenizer, capacity, end_id, with_ids))
     counts = rows.groupBy("part", "length").count()
     sums = {r[0]: r[1] for r in counts.groupBy("length").agg(F.sum("count")).collect()}
