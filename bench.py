@@ -9,6 +9,8 @@ import time
 from pathlib import Path
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
+# Python workers import the package too, whatever the working folder is
+os.environ["PYTHONPATH"] = os.pathsep.join([sys.path[0], *filter(None, [os.environ.get("PYTHONPATH")])])
 
 from pyspark.sql import SparkSession  # noqa: E402
 

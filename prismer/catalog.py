@@ -16,9 +16,12 @@ from pyspark.sql import functions as F
 from prismer.functions.seq import BASES, LETTERS, dna, revcomp
 from prismer.operators import align, graph, index, research
 from prismer.operators.index import Index
+from prismer.plans.storage import stored
 from prismer.sources import formats
 
 K, M = 15, 7
+#: Short enough that paths of the benchmark items branch.
+GRAPH_K = 9
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,9 +43,9 @@ def built(spark: SparkSession, sf_dir: str) -> Index:
     return index.build(documents(spark, sf_dir).select("color", "seq"), K, sources(spark, sf_dir))
 
 
-def item_index(spark: SparkSession, sf_dir: str) -> Index:
+def item_index(spark: SparkSession, sf_dir: str, k: int = K) -> Index:
     rows = items(spark, sf_dir)
-    return index.build(rows.select(F.col("item_id").cast("int").alias("color"), "seq"), K, rows.select(F.col("item_id").cast("int").alias("color"), "name"))
+    return index.build(rows.select(F.col("item_id").cast("int").alias("color"), "seq"), k, rows.select(F.col("item_id").cast("int").alias("color"), "name"))
 
 
 def joined(c: str = "colors"):
@@ -84,7 +87,8 @@ def print_color_sets(spark, sf_dir):
 def _records(spark, sf_dir, x=None):
     x = x or built(spark, sf_dir)
     rows = items(spark, sf_dir)
-    return align.records(rows, align.threshold(x, rows, 0.3, key="item_id"), {"kmer_hits": align.color_counts(x, rows, "item_id")[0]}, "item_id")
+    counted = tuple(map(stored, align.color_counts(x, rows, "item_id")))
+    return align.records(rows, align.threshold(x, rows, 0.3, key="item_id", counted=counted), {"kmer_hits": counted[0]}, "item_id")
 
 
 def report(spark, sf_dir):
@@ -104,7 +108,7 @@ def alignment_json(spark, sf_dir):
 
 
 def filter_reads(spark, sf_dir):
-    rows = _records(spark, sf_dir).withColumn("query_idx", F.col("item_id"))
+    rows = stored(_records(spark, sf_dir).withColumn("query_idx", F.col("item_id")))
     return align.filter_reads(items(spark, sf_dir), rows, [0, 3, 7]).select("item_id")
 
 
@@ -157,12 +161,12 @@ def unitigs(spark, sf_dir):
 
 
 def colored_unitigs(spark, sf_dir):
-    return graph.canonical_unitigs(item_index(spark, sf_dir)).select("seq", F.col("n_kmers").cast("long").alias("n_kmers"), joined().alias("colors"))
+    return graph.canonical_unitigs(item_index(spark, sf_dir, GRAPH_K)).select("seq", F.col("n_kmers").cast("long").alias("n_kmers"), joined().alias("colors"))
 
 
 def gfa_links(spark, sf_dir):
-    rows = graph.canonical_unitigs(item_index(spark, sf_dir)).select(F.col("seq").alias("unitig_id"), "seq")
-    return graph.gfa_links(rows, K)
+    rows = graph.canonical_unitigs(item_index(spark, sf_dir, GRAPH_K)).select(F.col("seq").alias("unitig_id"), "seq")
+    return graph.gfa_links(rows, GRAPH_K)
 
 
 def votes(spark, sf_dir):
@@ -182,7 +186,7 @@ def weighted_support(spark, sf_dir):
 
 def em_theta(spark, sf_dir):
     rows = _records(spark, sf_dir).groupBy("colors").agg(F.count("*").alias("n"))
-    theta = research.em(rows, rounds=50)
+    theta = research.em(rows, rounds=50, tolerance=0.0)
     return spark.createDataFrame([(int(c), round(t, 6)) for c, t in theta.items()], "color int, theta double")
 
 
@@ -198,7 +202,7 @@ def _sql() -> dict[str, str]:
     seq = f"regexp_replace(regexp_replace(translate(text, '{LETTERS}', '{BASES}'), '[.\\n]', 'N', 'g'), '[^ACGTN]', '', 'g')"
     rc = "translate(reverse(kmer), 'ACGT', 'TGCA')"
 
-    def idx(name: str, color: str, rows: str) -> str:
+    def idx(name: str, color: str, rows: str, K: int = K) -> str:
         return f"""
         {name}_seq as (select {color} color, {seq} seq from {rows} where text is not null),
         {name}_fw as (select distinct color, substr(seq, i, {K}) kmer from (select color, seq, unnest(generate_series(1, length(seq) - {K - 1})) i from {name}_seq where length(seq) >= {K})),
@@ -241,7 +245,42 @@ def _sql() -> dict[str, str]:
         nxt as (select f.kmer, g.kmer nk from f join f g on g.p = f.s join np on np.p = f.s join ns on ns.s = f.s where np.n = 1 and ns.n = 1),
         walk(head, kmer, seq, n) as (select kmer, kmer, kmer, 1 from heads union all select w.head, x.nk, w.seq || right(x.nk, 1), w.n + 1 from walk w join nxt x on w.kmer = x.kmer),
         uni as (select head, max_by(seq, n) seq, max(n) n_kmers from walk group by head)"""
+    g = GRAPH_K
+    flip = lambda x: f"translate(reverse({x}), 'ACGT', 'TGCA')"
+    # paths from their first nodes; cycles, which have none, from their least
+    paths = f"""with recursive {idx("b", "cast(item_id as integer)", "benchmark", g)},
+        f as (select kmer, substr(kmer, 1, {g - 1}) p, substr(kmer, 2) s from b_idx), np as (select p, count(*) n from f group by p), ns as (select s, count(*) n from f group by s),
+        nxt as (select a.kmer, b.kmer nk from f a join f b on b.p = a.s join np on np.p = a.s join ns on ns.s = a.s where np.n = 1 and ns.n = 1),
+        walk(head, kmer, place) as (select kmer, kmer, 0 from f where kmer not in (select nk from nxt) union all select w.head, x.nk, w.place + 1 from walk w join nxt x on w.kmer = x.kmer),
+        rest as (select kmer from f where kmer not in (select kmer from walk)),
+        around(head, kmer, place) as (select kmer, kmer, 0 from rest union all select w.head, x.nk, w.place + 1 from around w join nxt x on w.kmer = x.kmer where x.nk <> w.head),
+        least as (select head from around group by head having min(kmer) = head),
+        every as (select * from walk union all select * from around where head in (select head from least)),
+        once as (select e.*, i.colors from every e join b_idx i using (kmer) qualify row_number() over (partition by least(e.kmer, {flip("e.kmer")}) order by e.head, e.place) = 1),
+        marked as (select *, case when colors = lag(colors) over w and place = lag(place) over w + 1 then 0 else 1 end fresh from once window w as (partition by head order by place)),
+        runs as (select *, sum(fresh) over (partition by head order by place) run from marked),
+        units as (select min_by(kmer, place) || coalesce(string_agg(right(kmer, 1), '' order by place) filter (fresh = 0), '') s, count(*) n_kmers, any_value(colors) colors from runs group by head, run),
+        u as (select least(s, {flip("s")}) seq, n_kmers, colors from units)"""
+    links = f"""{paths}, o as (select seq id, '+' st, seq t from u union all select seq, '-', {flip("seq")} from u),
+        l as (select a.id a, a.st a_strand, b.id b, b.st b_strand from o a join o b on right(a.t, {g - 1}) = left(b.t, {g - 1})),
+        z as (select least(row(a, a_strand, b, b_strand), row(b, case b_strand when '+' then '-' else '+' end, a, case a_strand when '+' then '-' else '+' end)) r from l)
+        select distinct struct_extract(r, 1) a, struct_extract(r, 2) a_strand, struct_extract(r, 3) b, struct_extract(r, 4) b_strand from z"""
+    finimizers = f"""with {own}, ends as (select right(kmer, n) s from (select kmer, unnest(range(1, {K + 1})) n from b_idx) group by 1 having count(*) = 1),
+        inner_ as (select distinct kmer, colors, substr(kmer, e - n + 1, n) s from (select kmer, colors, e, unnest(range(1, e + 1)) n from (select kmer, colors, unnest(range(1, {K + 1})) e from b_idx))),
+        c as (select colors, reverse(min({{'l': length(s), 'r': reverse(s)}}).r) key from inner_ join ends using (s) group by kmer, colors),
+        u as (select key, list_sort(list_distinct(flatten(list(colors)))) uni from c group by key),
+        s as (select c.key, count(*) size, count(*) filter (colors = uni) correct, avg(len(colors) / cast(len(uni) as double)) jaccard from c join u using (key) group by c.key)
+        select cast(length(key) as integer) len, sum(correct) / cast(sum(size) as double) frac, cast(sum(correct) as bigint) correct, cast(sum(size) as bigint) total, avg(size) mean_class_size, avg(jaccard) mean_jaccard, count(*) n from s group by length(key)"""
+    mixture = f"""{dra.replace("with ", "with recursive ", 1)}, cl as (select colors, cast(count(*) as double) n from r where len(colors) > 0 group by colors),
+        x as (select row_number() over () cls, colors, n from cl), y as (select cls, n, unnest(colors) color from x), total as (select sum(n) n from x),
+        theta(step, color, w) as (select 0, color, 1 / cast(count(*) over () as double) from (select distinct color from y)
+          union all select step + 1, color, sum(share) / any_value(total.n) from (select step, y.color, y.n * w / sum(w) over (partition by y.cls) share from theta join y using (color)) v, total where step < 50 group by step, color)
+        select color, round(w, 6) theta from theta where step = 50"""
     return {
+        "colored_unitigs": f"{paths} select seq, n_kmers, {text} colors from u",
+        "gfa_links": links,
+        "finimizer_stats": finimizers,
+        "em_theta": mixture,
         "threshold_all": threshold("n_all"),
         "threshold_relevant": threshold("n_rel"),
         "threshold_maxhits": threshold("most"),

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import string
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,9 +52,41 @@ def minimizer(kmer: Column, k: int, m: int) -> Column:
     return F.array_min(F.array(*[F.substring(kmer, i, m) for i in range(1, k - m + 2)]))
 
 
-def packed(kmer: Column) -> Column:
-    """Two bits a base in a BIGINT, for k up to 31."""
-    return F.conv(F.translate(kmer, "ACGT", "0123"), 4, 10).cast("long")
+#: Two bits a base; 4 marks what is no base.
+CODES = np.full(256, 4, np.uint8)
+for _i, _c in enumerate("ACGT"):
+    CODES[ord(_c)] = CODES[ord(_c.lower())] = _i
+#: Bases that fit a BIGINT.
+PACKED = 31
+
+
+def packed(seqs: pa.Array, k: int, most: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(row, k-mer) of every canonical k-mer of the sequences, in parts of `most` places; a k-mer is a number of two bits a base."""
+    offsets = np.frombuffer(seqs.buffers()[1], np.int32, len(seqs) + 1, 4 * seqs.offset)
+    data = seqs.buffers()[2]
+    code = CODES[np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]]] if data is not None else np.zeros(0, np.uint8)
+    ends, row = offsets[1:] - offsets[0], np.repeat(np.arange(len(seqs)), np.diff(offsets))
+    for a in range(0, len(code) - k + 1, most):
+        part = code[a : a + most + k - 1]
+        n = len(part) - k + 1
+        bad = np.append(0, np.cumsum(part == 4))
+        forward, back = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        for j in range(k):
+            base = part[j : j + n].astype(np.int64) & 3
+            forward = forward << 2 | base
+            back |= (3 - base) << (2 * j)
+        own = row[a : a + n]
+        use = (bad[k:] == bad[:n]) & (np.arange(a + k, a + k + n) <= ends[own])
+        yield own[use], np.minimum(forward, back)[use]
+
+
+def unpacked(kmers: np.ndarray, k: int) -> pa.Array:
+    """Packed k-mers as strings."""
+    out = np.empty((len(kmers), k), np.uint8)
+    letters = np.frombuffer(b"ACGT", np.uint8)
+    for j in range(k):
+        out[:, k - 1 - j] = letters[(kmers >> (2 * j)) & 3]
+    return pa.Array.from_buffers(pa.string(), len(kmers), [None, pa.py_buffer(np.arange(len(kmers) + 1, dtype=np.int32) * np.int32(k)), pa.py_buffer(out)])
 
 
 def positions(reads: DataFrame, k: int, key: str = "query_idx") -> DataFrame:

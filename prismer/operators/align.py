@@ -30,15 +30,16 @@ def color_counts(index: Index, reads: DataFrame, key: str = "query_idx") -> tupl
     return sets.select(key, F.explode("colors").alias("color"), "n").groupBy(key, "color").agg(F.sum("n").alias("hits")), totals
 
 
-def threshold(index: Index, reads: DataFrame, threshold: float, denominator: str = "all", min_hits: int = 1, key: str = "query_idx") -> DataFrame:
+def threshold(index: Index, reads: DataFrame, threshold: float, denominator: str = "all", min_hits: int = 1, key: str = "query_idx", counted: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """(key, color, hits, n_all, n_rel): colors whose hits over the denominator reach the threshold.
 
     The denominator is all places, the relevant (known) ones, or the read's greatest count ("max-hits").
     Reads with fewer relevant places than min_hits have no color. The division is in doubles.
+    counted: what color_counts gave, if it is known.
     """
     if denominator not in ("all", "relevant", "max-hits"):
         raise ValueError(f"unknown denominator {denominator!r}")
-    counts, totals = color_counts(index, reads, key)
+    counts, totals = counted or color_counts(index, reads, key)
     rows = counts.join(totals, key).where(F.col("n_rel") >= min_hits)
     most = {"all": F.col("n_all"), "relevant": F.col("n_rel"), "max-hits": F.max("hits").over(Window.partitionBy(key))}[denominator]
     return rows.withColumn("_d", most.cast("double")).where(F.col("hits") / F.col("_d") >= threshold).drop("_d")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from prismer.functions.seq import revcomp
+from prismer.functions.seq import canonical, revcomp
 from prismer.operators.index import Index
 from prismer.plans.storage import stored
 
@@ -120,8 +120,22 @@ def colored_unitigs(index: Index) -> DataFrame:
 
 
 def canonical_unitigs(index: Index) -> DataFrame:
-    """(seq, n_kmers, colors): colored unitigs with the smaller of each two orientations, each pair of k-mers once."""
-    return colored_unitigs(index).select(F.least("seq", revcomp(F.col("seq"))).alias("seq"), "n_kmers", "colors").distinct()
+    """(seq, n_kmers, colors): colored unitigs that hold each k-mer or its reverse complement once, in their smaller orientation.
+
+    Of a path and its reverse complement the one of the smaller head stays. A path that meets its own reverse
+    complement is cut where a k-mer's partner stands earlier on it; a cycle begins at its least node.
+    """
+    k, nodes = index.k, index.both_strands()
+    walk = places(nodes.select("kmer"), k).join(nodes, "kmer").withColumn("_c", canonical(F.col("kmer")))
+    first = walk.groupBy("_c").agg(F.min(F.struct("head", "place")).alias("f")).select("_c", "f.head", "f.place")
+    kept = walk.join(first, ["_c", "head", "place"])
+    order = Window.partitionBy("head").orderBy("place")
+    goes_on = F.col("colors").eqNullSafe(F.lag("colors").over(order)) & (F.col("place") - F.lag("place").over(order) == 1)
+    cut = kept.withColumn("_new", F.when(goes_on, 0).otherwise(1)).withColumn("run_no", F.sum("_new").over(order) - 1)
+    each = cut.groupBy("head", "run_no", "colors").agg(F.array_sort(F.collect_list(F.struct("place", "kmer"))).alias("w"))
+    tail = F.array_join(F.transform(F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(0))), lambda x: F.substring(x["kmer"], k, 1)), "")
+    seq = F.concat(F.get("w", F.lit(0))["kmer"], tail)
+    return each.select(F.least(seq, revcomp(seq)).alias("seq"), F.size("w").alias("n_kmers"), "colors")
 
 
 def gfa_links(unitig: DataFrame, k: int) -> DataFrame:

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prismer.functions.seq import canonical, kmers, revcomp, valid
+from prismer.functions.seq import PACKED, canonical, kmers, packed, revcomp, unpacked, valid
+from prismer.plans.storage import stored
 
 
 @dataclass
@@ -46,7 +50,8 @@ def numbered(df: DataFrame, name: str, order: list[str]) -> DataFrame:
     """
     from pyspark.sql import Window
 
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).persist()
+    # stored, not cached: a task that runs again must not number its rows anew
+    ranged = stored(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()))
     sizes = sorted(ranged.groupBy("_part").count().collect())
     base, starts = 0, []
     for part, n in sizes:
@@ -58,19 +63,69 @@ def numbered(df: DataFrame, name: str, order: list[str]) -> DataFrame:
 
 
 def build(sequences: DataFrame, k: int, names: DataFrame | None = None) -> Index:
-    """Index of (color, seq): canonical k-mers first meet their colors in partial aggregates, then by one shuffle.
+    """Index of (color, seq): the distinct (k-mer, color) of a part of a task, then one shuffle and sort, then sets by one pass.
 
     Names default to color_0, color_1, ... Characters beyond ACGT in either case split a sequence.
+    k-mers of up to 31 bases travel as numbers, longer ones as strings.
     """
     if k < 1:
         raise ValueError("k must be positive")
-    each = sequences.select("color", F.explode(kmers(F.upper("seq"), k)).alias("kmer")).where(valid(F.col("kmer")))
-    table = each.select(canonical(F.col("kmer")).alias("kmer"), "color").groupBy("kmer").agg(F.array_sort(F.collect_set("color")).alias("colors"))
+    rows = sequences.select(F.col("color").cast("int").alias("color"), "seq").where("seq is not null")
+    if k > PACKED:
+        each = rows.select("color", F.explode(kmers(F.upper("seq"), k)).alias("kmer")).where(valid(F.col("kmer")))
+        table = each.select(canonical(F.col("kmer")).alias("kmer"), "color").distinct().groupBy("kmer").agg(F.array_sort(F.collect_set("color")).alias("colors"))
+    else:
+        each = rows.mapInArrow(_distinct(k), "kmer long, color int").repartition("kmer").sortWithinPartitions("kmer", "color")
+        table = each.mapInArrow(_sets(k), "kmer string, colors array<int>")
     if names is None:
         names = sequences.select("color").distinct().select("color", F.concat(F.lit("color_"), "color").alias("name"))
     return Index(k, table, names)
 
 
+def _distinct(k: int):
+    """Rows (color, seq) to (k-mer, color), each once for a part of the rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            color = batch.column(0).to_numpy()
+            for row, kmer in packed(batch.column(1), k):
+                c = color[row]
+                order = np.lexsort((c, kmer))
+                kmer, c = kmer[order], c[order]
+                new = np.ones(len(c), bool)
+                new[1:] = (kmer[1:] != kmer[:-1]) | (c[1:] != c[:-1])
+                yield pa.RecordBatch.from_arrays([pa.array(kmer[new]), pa.array(c[new])], ["kmer", "color"])
+
+    return run
+
+
+def _sets(k: int):
+    """Rows (k-mer, color), sorted, to a row a k-mer with its colors; the last k-mer of a batch waits for the next."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kmer, color = np.zeros(0, np.int64), np.zeros(0, np.int32)
+
+        def sets(last: int) -> pa.RecordBatch:
+            at = np.flatnonzero(np.append(True, kmer[1:last] != kmer[: last - 1]))
+            lists = pa.ListArray.from_arrays(pa.array(np.append(at, last).astype(np.int32)), pa.array(color[:last]))
+            return pa.RecordBatch.from_arrays([unpacked(kmer[at], k), lists], ["kmer", "colors"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            kmer, color = np.append(kmer, batch.column(0).to_numpy()), np.append(color, batch.column(1).to_numpy())
+            new = np.append(True, (kmer[1:] != kmer[:-1]) | (color[1:] != color[:-1]))
+            kmer, color = kmer[new], color[new]
+            last = int(np.searchsorted(kmer, kmer[-1]))
+            if last:
+                yield sets(last)
+                kmer, color = kmer[last:], color[last:]
+        if len(kmer):
+            yield sets(len(kmer))
+
+    return run
+
+
 def build_one_color(sequences: DataFrame, k: int, name: str) -> Index:
     """Every k-mer of the sequences has the one color 0."""
     return build(sequences.withColumn("color", F.lit(0)), k, sequences.sparkSession.createDataFrame([(0, name)], "color int, name string"))

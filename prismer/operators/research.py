@@ -17,7 +17,8 @@ def class_stats(classes: DataFrame) -> DataFrame:
     A k-mer is correct if its set is the union of its class. The similarity is that of its set and the union.
     """
     sizes = classes.groupBy("key", "colors").agg(F.count("*").alias("n"))
-    union = sizes.groupBy("key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("colors")))).alias("union"))
+    # a frequent key has many sets but no more colors than there are
+    union = sizes.select("key", F.explode("colors").alias("color")).distinct().groupBy("key").agg(F.array_sort(F.collect_set("color")).alias("union"))
     each = sizes.join(union, "key").groupBy("key").agg(
         F.sum("n").alias("size"),
         F.sum(F.when(F.col("colors") == F.col("union"), F.col("n")).otherwise(0)).alias("correct"),

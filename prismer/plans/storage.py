@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """df written once as Parquet below spark.checkpoint.dir and read back; a local folder where the session names none."""
+    """df written once as Parquet below spark.checkpoint.dir and read back; a local folder where a session on one machine names none."""
     spark = df.sparkSession
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         top = "file://" + tempfile.mkdtemp(prefix="prismer-")
         spark.conf.set("spark.checkpoint.dir", top)
     path = f"{top.rstrip('/')}/prismer-{uuid.uuid4().hex}"

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,6 +43,32 @@ def read_fastq(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return rows.select("path", "ordinal", F.substring_index(F.substring("_0", 2, 1 << 20), " ", 1).alias("name"), F.upper(F.trim("_1")).alias("seq"), F.col("_3").alias("qual"))
 
 
+def is_fastq(path: str) -> bool:
+    """By extension, before a .gz."""
+    return re.search(r"\.(fq|fastq)(\.gz)?$", path, re.IGNORECASE) is not None
+
+
+def read_sequences(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """(path, ordinal, name, seq, qual) of FASTA and FASTQ files by extension; qual is null for FASTA."""
+    paths = [paths] if isinstance(paths, str) else paths
+    out = None
+    for some, read in (([p for p in paths if is_fastq(p)], read_fastq), ([p for p in paths if not is_fastq(p)], read_fasta)):
+        if some:
+            rows = read(spark, some)
+            rows = rows.select("path", "ordinal", "name", "seq", F.col("qual") if "qual" in rows.columns else F.lit(None).cast("string").alias("qual"))
+            out = rows if out is None else out.unionByName(rows)
+    if out is None:
+        raise ValueError("no files")
+    return out
+
+
+def pairs_of_lists(queries: list[str], outputs: list[str]) -> list[tuple[str, str]]:
+    """Query files with their output files, line by line; lists of different lengths are an error."""
+    if len(queries) != len(outputs):
+        raise ValueError(f"{len(queries)} query files but {len(outputs)} output files")
+    return list(zip(queries, outputs))
+
+
 def read_file_list(spark: SparkSession, path: str) -> list[str]:
     """The paths in a list, one a line, blank lines left out."""
     return [r[0].strip() for r in spark.read.text(path).collect() if r[0].strip()]
@@ -50,11 +79,16 @@ def file_colors(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, DataF
     if not paths:
         raise ValueError("no files")
     names = spark.createDataFrame(list(enumerate(paths)), "color int, name string")
-    rows = None
-    for i, p in enumerate(paths):
-        part = read_fasta(spark, p).select(F.lit(i).alias("color"), "seq")
-        rows = part if rows is None else rows.unionByName(part)
-    return rows, names
+    conf = spark._jsparkSession.sessionState().newHadoopConf()
+
+    def whole(path: str) -> str:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        return re.sub("^file:/+", "file:/", p.getFileSystem(conf).makeQualified(p).toUri().toString())
+
+    # one scan of all files, whatever their number; a file's name tells its color
+    of = spark.createDataFrame([(i, whole(p)) for i, p in enumerate(paths)], "color int, path string")
+    rows = read_sequences(spark, list(dict.fromkeys(paths))).withColumn("path", F.regexp_replace("path", "^file:/+", "file:/"))
+    return rows.join(of, "path").select("color", "seq"), names
 
 
 def sequence_colors(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -76,8 +110,11 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_color_list(spark: SparkSession, path: str) -> list[int]:
-    """Color ids, one a line; blank lines are skipped, anything else is an error."""
-    return [int(r[0]) for r in spark.read.text(path).collect() if r[0].strip()]
+    """Color ids, one a line; blank lines are skipped, anything else, negative numbers too, is an error."""
+    lines = [r[0].strip() for r in spark.read.text(path).collect() if r[0].strip()]
+    if bad := [x for x in lines if not x.isascii() or not x.isdigit()]:
+        raise ValueError(f"{bad[0]!r} is no color id")
+    return [int(x) for x in lines]
 
 
 def json_lines(rows: DataFrame, positive_only: bool = False, key: str = "query_idx") -> DataFrame:
@@ -128,8 +165,13 @@ def load_dump(spark: SparkSession, unitigs: str, color_sets: str, metadata: str)
     sets = spark.read.text(color_sets).where(F.length(F.trim("value")) > 0).select(F.regexp_extract("value", r"color_set_id=(\d+)", 1).cast("long").alias("set_id"), F.transform(F.slice(parts, F.lit(3), F.greatest(F.size(parts) - 2, F.lit(0))), lambda c: c.cast("int")).alias("colors"))
     if sets.count() != int(meta["num_color_sets"]):
         raise ValueError("the number of color sets differs from the metadata")
+    sizes = spark.read.text(color_sets).where(F.length(F.trim("value")) > 0).select(F.regexp_extract("value", r"size=(\d+)", 1).cast("int").alias("size"), F.size(parts).alias("n"))
+    if sizes.where("size is null or size != n - 2").take(1):
+        raise ValueError("a color set's size differs from its colors")
     units = spark.read.option("lineSep", "\n>").text(unitigs).where(F.length(F.trim("value")) > 0)
     rows = units.select(F.regexp_extract("value", r"color_set_id=(\d+)", 1).cast("long").alias("set_id"), F.upper(F.regexp_replace(F.regexp_replace("value", r"^[^\n]*\n", ""), r"\s", "")).alias("seq"))
+    if unknown := rows.join(sets.select("set_id"), "set_id", "left_anti").select("set_id").take(1):
+        raise ValueError(f"unitigs name the unknown color set {unknown[0][0]}")
     table = rows.select("set_id", F.explode(kmers(F.col("seq"), k)).alias("kmer")).select(canonical(F.col("kmer")).alias("kmer"), "set_id").distinct().join(sets, "set_id").select("kmer", F.array_sort("colors").alias("colors"))
     return Index(k, table, spark.range(n).select(F.col("id").cast("int").alias("color"), F.col("id").cast("string").alias("name")))
 
@@ -139,6 +181,32 @@ def write_lines(rows: DataFrame, path: str, gzip: bool = False) -> None:
     rows.select("value").write.option("compression", "gzip" if gzip else "none").text(path)
 
 
+def report_json(each: DataFrame, totals: DataFrame) -> str:
+    """The report as JSON; colors of no positive read are left out, the most frequent come first."""
+    n, rows = totals.first(), each.collect()
+    pairs = lambda c: [[r["name"], r[c]] for r in sorted(rows, key=lambda r: (-r[c], r["color"])) if r[c]]
+    return json.dumps({"n_reads": n.n_reads, "n_positive_reads": n.n_positive_reads, "positive_by_color": pairs("positive"), "unique_positive_by_color": pairs("unique_positive")}, indent=2, ensure_ascii=False)
+
+
+def name_lines(colors: DataFrame) -> DataFrame:
+    """(value): a color's id and name, separated by a tab, in order."""
+    return colors.orderBy("color").select(F.concat_ws("\t", F.col("color").cast("string"), "name").alias("value"))
+
+
+def table_lines(rows: DataFrame) -> list[str]:
+    """A header and tab-separated rows of a small table."""
+    return ["\t".join(rows.columns), *("\t".join(map(str, r)) for r in rows.collect())]
+
+
+def sequence_lines(reads: DataFrame, path: str) -> DataFrame:
+    """FASTQ or FASTA lines as the output's extension says; FASTQ needs qualities."""
+    if is_fastq(path):
+        if reads.where("qual is null").take(1):
+            raise ValueError("FASTQ output needs reads with qualities")
+        return fastq_lines(reads)
+    return fasta_lines(reads)
+
+
 def fasta_lines(reads: DataFrame) -> DataFrame:
     return reads.select(F.concat(F.lit(">"), "name", F.lit("\n"), "seq").alias("value"))
 
