@@ -180,7 +180,7 @@ class Pieces:
     the pieces' values, joined, are the text's value. words gives the values of new pre-tokens,
     odd those of pieces beyond WORDS and MARKS, special those of special strings, which are
     cut out first. Values are bytes, items of dtype. Pre-tokens and odd pieces are cached in two
-    generations of at most room entries each.
+    generations of at most room entries each, an eighth of that for odd ones, which return less often.
     """
 
     def __init__(self, words: Callable[[list[str]], list[bytes]], odd: Callable[[list[str]], list[bytes]], special: dict[str, bytes], dtype: str, fold: bool = False, room: int = 150_000):
@@ -202,7 +202,7 @@ class Pieces:
         if fresh:
             for i, v in zip(fresh, (self.words if simple else self.odd)([keys[i] for i in fresh])):
                 out[i] = v
-        if len(young) + len(missing) > self.room:
+        if len(young) + len(missing) > (self.room if simple else self.room // 8):
             self.caches[simple] = [{}, young]
             young = self.caches[simple][0]
         young.update((keys[i], out[i]) for i in missing)
@@ -253,7 +253,7 @@ class Pieces:
             out += [flat[a:b].tobytes() for a, b in zip([0, *ends[:-1]], ends)]
         return out
 
-    def slices(self, column: pa.Array, most: int = 16_000_000) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+    def slices(self, column: pa.Array, most: int = 8_000_000) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
         """For runs of rows of at most most bytes (one row at least): the rows, their values, where each row's values end."""
         column = pc.fill_null(column, "")
         sizes = np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64))
@@ -300,8 +300,8 @@ class Pieces:
 @lru_cache(maxsize=4)
 def encoder(path: str) -> Pieces:
     """Little-endian unsigned 32-bit ids as the tokenizers library gives them."""
-    lib, special = library(path), table(path).special
-    tokenize = lib.model.tokenize
+    lib = library(path)
+    special, tokenize = {t.content: i for i, t in lib.get_added_tokens_decoder().items()}, lib.model.tokenize
 
     def words(new: list[str]) -> list[bytes]:
         return [array("I", [t.id for t in tokenize(w)]).tobytes() for w in map(mapped, new)]

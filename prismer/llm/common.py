@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
@@ -56,6 +57,25 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
+def release() -> None:
+    """Give freed memory back at the end of a task: workers are used again, and those of other operators need it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, with memory given back at its end."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        release()
+
+    return wrapped
+
+
 def parts(batches: Iterator[pa.RecordBatch], most: int = 2_000_000, text: int = 1) -> Iterator[pa.RecordBatch]:
     """Batches cut so that the texts of their column number `text` have at most `most` bytes (one row at least)."""
     for batch in batches:
@@ -65,6 +85,7 @@ def parts(batches: Iterator[pa.RecordBatch], most: int = 2_000_000, text: int =
             b = max(a + 1, int(np.searchsorted(sizes, (sizes[a - 1] if a else 0) + most, "right")))
             yield batch.slice(a, b - a)
             a = b
+    release()
 
 
 def blocks(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.RecordBatch]:
@@ -107,10 +128,13 @@ def distinct_pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def shared_dir(spark: SparkSession) -> str:
     """A fresh folder below spark.checkpoint.dir, which driver and executors share.
 
-    Where the session has no such setting (tests on one machine) a local folder is used.
+    Where a session on one machine has no such setting (tests) a local folder is used; on a cluster
+    that is an error, as executors would not see each other's files.
     """
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         top = "file://" + tempfile.mkdtemp(prefix="prismer-")
         spark.conf.set("spark.checkpoint.dir", top)
     return f"{top.rstrip('/')}/prismer-{uuid.uuid4().hex}"

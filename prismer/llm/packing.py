@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from prismer.llm import bpe
-from prismer.llm.common import modest, saved
+from prismer.llm.common import modest, saved, tidy
 
 #: A kind of bin: its lengths, descending.
 Bin = tuple[int, ...]
@@ -170,7 +170,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int =
                     cols.append(pa.ListArray.from_arrays(pa.array(np.append(a, places[-1]), pa.int32()), pa.array(values.view("<i4"))))
                 yield pa.RecordBatch.from_arrays(cols, [c.split()[0] for c in kind.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, kind)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run), kind)
 
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, with_ids: bool = False) -> DataFrame:

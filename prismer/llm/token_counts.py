@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from prismer.llm import bpe
-from prismer.llm.common import modest
+from prismer.llm.common import modest, tidy
 
 
 def _word(t: bpe.Table, word: str) -> list[int]:
@@ -130,7 +130,7 @@ def prefix_counts(docs: DataFrame, path: str) -> DataFrame:
                 )
 
     modest(docs.sparkSession)
-    return docs.select(docs["doc_id"].cast("long"), docs["text"]).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, prefix_steps binary")
+    return docs.select(docs["doc_id"].cast("long"), docs["text"]).mapInArrow(tidy(run), "doc_id long, n_bytes long, n_tokens long, prefix_steps binary")
 
 
 def count_at(prefix_steps: bytes, n_chars: int) -> int:

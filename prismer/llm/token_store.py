@@ -12,11 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prismer.llm import bpe
+from prismer.llm.common import modest, tidy
 
 SCHEMA = "doc_id long, part int, part_start long, n_tokens long, ids array<int>"
 #: ORC lays each column out in stripes with run-length encoded integers; every row group of
 #: orc.row.index.stride rows has minima, maxima and a Bloom filter of doc_id.
-LAYOUT = {"orc.create.index": "true", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.row.index.stride": "1000", "orc.stripe.size": str(16 << 20), "compression": "zstd"}
+LAYOUT = {"orc.create.index": "true", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.row.index.stride": "1000", "orc.stripe.size": str(8 << 20), "compression": "zstd"}
 
 
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0) -> None:
@@ -42,8 +43,9 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0) -> None:
                     ["doc_id", "part", "part_start", "n_tokens", "ids"],
                 )
 
+    modest(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    rows.mapInArrow(run, SCHEMA).write.options(**LAYOUT).orc(path)
+    rows.mapInArrow(tidy(run), SCHEMA).write.options(**LAYOUT).orc(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -72,4 +74,5 @@ def digests(stored: DataFrame) -> DataFrame:
             n = pa.array([b - a for a, b in zip(at, at[1:])], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), n, crc], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
+    modest(stored.sparkSession)
     return stored.select("doc_id", "start", "n_tokens", "ids").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")

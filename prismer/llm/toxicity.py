@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prismer.llm.common import dropped, saved
+from prismer.llm.common import dropped, modest, parts, saved
 
 #: Identity terms by kind and language; a counterfactual puts each term's successor in its place.
 IDENTITY = (
@@ -69,10 +69,10 @@ def spread(row: np.ndarray, word: np.ndarray, ids: list[list[int]]) -> tuple[np.
     return key // wide, key % wide
 
 
-def present(column: pa.Array, index: dict[str, int], rows: int = 1000) -> Iterator[np.ndarray]:
+def present(column: pa.Array, index: dict[str, int]) -> Iterator[np.ndarray]:
     """For each text the model's traits in it, as indexes."""
-    for a in range(0, len(column), rows):
-        part = column.slice(a, rows)
+    for batch in parts(iter([pa.RecordBatch.from_arrays([column], ["text"])]), 1_000_000, 0):
+        part = batch.column(0)
         names, row, word = distinct_words(part)
         row, hit = spread(row, word, [[i for t in traits(w) if (i := index.get(t)) is not None] for w in names.to_pylist()])
         yield from np.split(hit, np.searchsorted(row, np.arange(1, len(part)))) if len(part) else ()
@@ -92,6 +92,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, features: int
     documents that name an identity term. Only the sample's chosen words reach the driver. Rows with a null id, text
     or label are left out; without any labelled row of both kinds every score is the base rate.
     """
+    modest(docs.sparkSession)
     known = labels.where("doc_id is not null and toxic is not null").select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     if held_out:
         known = known.where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
@@ -100,14 +101,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, features: int
     rows = saved(docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id").select("toxic", "text"))
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a in range(0, batch.num_rows, 1000):
-                toxic, column = batch.column(0).slice(a, 1000).to_numpy(), batch.column(1).slice(a, 1000)
-                names, row, word = distinct_words(column)
-                seen: dict[str, int] = {}
-                row, trait = spread(row, word, [[seen.setdefault(t, len(seen)) for t in traits(w)] for w in names.to_pylist()])
-                n = len(seen)
-                yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(np.bincount(trait, minlength=n)), pa.array(np.bincount(trait, toxic[row], minlength=n).astype(np.int64))], ["word", "n", "bad"])
+        for part in parts(batches, 1_000_000):
+            toxic = part.column(0).to_numpy()
+            names, row, word = distinct_words(part.column(1))
+            seen: dict[str, int] = {}
+            row, trait = spread(row, word, [[seen.setdefault(t, len(seen)) for t in traits(w)] for w in names.to_pylist()])
+            n = len(seen)
+            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(np.bincount(trait, minlength=n)), pa.array(np.bincount(trait, toxic[row], minlength=n).astype(np.int64))], ["word", "n", "bad"])
 
     sizes = rows.agg(F.count("*"), F.sum("toxic")).first()
     total, bad = sizes[0] or 0, sizes[1] or 0
@@ -164,6 +164,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     Null and empty texts get the bias's score. Rows are neither dropped nor joined; a column named
     score is replaced. No shuffle; the model is at most a few hundred words.
     """
+    modest(docs.sparkSession)
     index = {w: i for i, w in enumerate(model.words)}
     docs = docs.drop("score")
     names = docs.columns
