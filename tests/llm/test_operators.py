@@ -343,13 +343,29 @@ def test_fingerprints(spark):
 def test_near_vectors(spark):
     rng = np.random.default_rng(5)
     base = rng.normal(size=(6, 16))
-    vec = [(base[i % 6] + rng.normal(size=16) * rng.choice([0.05, 0.3])).tolist() for i in range(120)] + [None, [0.0] * 16, [float("nan")] * 16, [1.0, None] * 8, []]
-    rows = [(i, v, None if i % 17 == 3 else i % 3) for i, v in enumerate(vec)]
-    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in near_vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"), tile=16).collect()}
-    m = [np.array(v, np.float32).astype(float) if i < 120 else None for i, v in enumerate(vec)]
+    vec = [(base[i % 6] + rng.normal(size=16) * rng.choice([0.05, 0.3])).tolist() for i in range(120)]
+    vec += [vec[7]] * 40 + [[2 * x for x in vec[7]]] * 3 + [None, [0.0] * 16, [float("nan")] * 16, [1.0, None] * 8, []]
+    usable = len(vec) - 5
+    rows = [(i, v, None if i % 17 == 3 else 1 if i >= 120 else i % 3) for i, v in enumerate(vec)]
+    m = [np.array(v, np.float32).astype(float) if i < usable else None for i, v in enumerate(vec)]
     link = lambda i, j: m[i] is not None and m[j] is not None and rows[i][2] is not None and rows[i][2] == rows[j][2] and m[i] @ m[j] / np.sqrt((m[i] @ m[i]) * (m[j] @ m[j])) >= 0.93
     want = joined(len(vec), link)
-    assert got == {i: (sum(link(i, j) for j in range(len(vec)) if j != i), want[i], want[i] == i) for i in range(len(vec))}
+    want = {i: (sum(link(i, j) for j in range(len(vec)) if j != i), want[i], want[i] == i) for i in range(len(vec))}
+    table = spark.createDataFrame([*rows, *rows[:9]], "vec_id long, embedding array<float>, label int").withColumn("same", F.lit(1)).withColumn("grp", F.lit(2))
+    for tile, group in ((1024, 8 << 20), (4, 8 * 64), (16, 1)):
+        got = near_vectors.near_duplicates(table, tile=tile, group=group).collect()
+        assert len(got) == len(rows) + 9 and {r.vec_id: (r.n_links, r.component_id, r.kept) for r in got} == want
+
+
+def test_near_vectors_at_the_threshold(spark):
+    """Cosines within rounding of single precision of the threshold are decided in double precision."""
+    far = [0.93 + d for d in (-1e-4, -5e-7, -1e-7, -1e-9, 1e-9, 1e-7, 5e-7, 1e-4)]
+    rows = [(10 * k + i, v, k) for k, c in enumerate(far) for i, v in enumerate(([1.0, 0.0], [c, (1 - c * c) ** 0.5], [1.0, 0.0]))]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in near_vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    for k, c in enumerate(far):
+        assert [got[10 * k + i] for i in range(3)] == ([(2, 10 * k)] * 3 if c >= 0.93 else [(1, 10 * k), (0, 10 * k + 1), (1, 10 * k)])
+    none = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").where("vec_id < 0")
+    assert near_vectors.near_duplicates(none).collect() == []
 
 
 def test_near_vectors_of_many_dimensions(spark):
