@@ -62,10 +62,13 @@ def containment(a: Column, b: Column, k: int = K) -> Column:
 
 
 def merged(parts: DataFrame, key: str, sketch: str, k: int = K) -> DataFrame:
-    """One sketch for each key from the sketches of its parts; tasks keep only k hashes of a key before the shuffle."""
-    each = parts.select(key, F.explode(sketch).alias("_h")).distinct()
-    least = each.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy("_h"))).where(F.col("_r") <= k)
-    return least.groupBy(key).agg(F.sort_array(F.collect_list("_h")).alias(sketch))
+    """One sketch for each key from the sketches of its parts; tasks keep only the k least hashes of a key before the shuffle.
+
+    Null and empty sketches add nothing; a key that has no other gets an empty sketch. Null keys are a key of their own.
+    """
+    rank = F.dense_rank().over(Window.partitionBy(key).orderBy("_h"))
+    least = parts.select(key, F.explode_outer(sketch).alias("_h")).withColumn("_r", rank).where(F.col("_r") <= k + 1)
+    return least.groupBy(key).agg(F.slice(F.sort_array(F.collect_set("_h")), 1, k).alias(sketch))
 
 
 def as_text(sketch: Column) -> Column:
@@ -116,7 +119,12 @@ def fingerprints(docs: DataFrame, k: int = K, width: int = WIDTH) -> DataFrame:
 
 
 def edited_pairs(docs: DataFrame, k: int = K, width: int = WIDTH) -> DataFrame:
-    """Fingerprints of each text, of its edited text (last third replaced from the next document) and their likeness."""
+    """Fingerprints of each text, of its edited text (last third replaced from the next document) and their likeness.
+
+    One row for each row of docs. Null texts are empty; two empty shingle sets are alike by 1, an empty
+    and another by 0. Rows of equal doc_id follow each other by text; null doc_ids come last; the last
+    row's next one is the first, a single row's is itself. An empty table stays empty. Other columns are left out.
+    """
     rows = beside_next(fingerprints(docs, k, width), "doc_id", ["text", "sketch"])
     n = F.char_length("text")
     third = F.floor(n / 3).cast("int")

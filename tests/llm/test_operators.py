@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from prismer.llm import bpe, bpe_codec, fingerprints, line_dedup, near_vectors, ngram_join, packing, pii, token_counts, token_store, toxicity
 from prismer.llm.common import parts
-from prismer.llm.queries import op10_line_dedup, vocabulary
+from prismer.llm.queries import op7_toxicity, op8_fingerprints, op10_line_dedup, vocabulary
 
 BYTES, WORDS = vocabulary("byte_bpe_50k.json"), vocabulary("word_bpe_49k.json")
 ODD = [
@@ -340,6 +340,38 @@ def test_fingerprints(spark):
         assert abs(got[i].near_edited - (len(sets[i] & s) / len(sets[i] | s) if sets[i] | s else 1)) < 1e-9  # below k distinct shingles estimates are exact
 
 
+def test_sketch_merge_and_counts(spark):
+    """Sketches of parts merge into that of the whole; counts and containment are exact below k and near above it."""
+    rng = random.Random(6)
+    shared = [f"s{i}" for i in range(3000)]
+    small, large = copies(3)[:40], [" ".join(shared[: 1000 * n] + [f"x{n}_{i}" for i in range(300)]) for n in (1, 2, 3)]
+    for texts, error in ((small, 1e-9), (large, 0.25)):
+        rows = fingerprints.fingerprints(docs(spark, texts)).withColumn("part", F.col("doc_id") % 3).select("doc_id", "part", "sketch")
+        sets = word_sets(texts, fingerprints.WIDTH)
+        for r in rows.select("doc_id", fingerprints.distinct_count(F.col("sketch")).alias("n")).collect():
+            assert abs(r.n - len(sets[r.doc_id])) <= error * len(sets[r.doc_id]) + 1e-9
+        pairs = rows.alias("a").crossJoin(rows.alias("b"))
+        for r in pairs.select(F.col("a.doc_id").alias("i"), F.col("b.doc_id").alias("j"), fingerprints.containment(F.col("a.sketch"), F.col("b.sketch")).alias("c")).collect():
+            assert abs(r.c - len(sets[r.i] & sets[r.j]) / len(sets[r.i])) <= max(error, 1e-6)
+        whole = spark.createDataFrame([(p, "\n".join(texts[p::3])) for p in range(3)], "doc_id long, text string")
+        held = {r.part: r.sketch for r in fingerprints.merged(rows, "part", "sketch").collect()}
+        want = {p: sorted(set().union(*(r.sketch for r in rows.where(F.col("part") == p).collect())))[: fingerprints.K] for p in range(3)}
+        assert held == want and whole.count() == 3
+    odd = spark.createDataFrame([(1, None), (1, []), (None, [rng.randrange(9)]), (2, [3, 3, 1])], "part long, sketch array<long>")
+    assert [(r.part, len(r.sketch)) for r in fingerprints.merged(odd, "part", "sketch").orderBy("part").collect()] == [(None, 1), (1, 0), (2, 2)]
+
+
+def test_fingerprints_query(spark, tmp_path):
+    texts = [*copies(11)[:30], "", None, "x y", "x y", *copies(11)[:2]]
+    docs(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    got, sets = {r.doc_id: r for r in op8_fingerprints(spark, str(tmp_path)).collect()}, word_sets(texts, fingerprints.WIDTH)
+    assert sorted(got) == list(range(len(texts)))
+    for i, r in got.items():
+        a, b = sets[i], sets[(i - 1) % len(texts)]
+        assert abs(r.near_next - (len(a & b) / len(a | b) if a | b else 1)) < 1e-9
+        assert all((r.fingerprint == got[j].fingerprint) == (sets[i] == sets[j]) for j in got)
+
+
 def test_near_vectors(spark):
     rng = np.random.default_rng(5)
     base = rng.normal(size=(6, 16))
@@ -392,6 +424,41 @@ def test_toxicity(spark):
     assert toxicity.score(d, empty).count() == 402
 
 
+def test_toxicity_penalty(spark):
+    """Neutral mentions of a group that toxic texts name: the penalty narrows the gap to their counterfactuals."""
+    rng, texts, labels = random.Random(8), [], []
+    for i in range(600):
+        bad = i % 4 == 0
+        words = [rng.choice("alpha beta gamma delta river".split()) for _ in range(12)]
+        words += ["vilething"] * (bad and rng.random() < 0.7) + ["muslims" if rng.random() < (0.9 if bad else 0.1) else "christians"]
+        texts.append(" ".join(words))
+        labels.append((i, int(bad)))
+    d, known = docs(spark, texts), spark.createDataFrame(labels, "doc_id long, toxic int")
+    plain = "alpha river muslims beta"
+    probe = docs(spark, [plain, toxicity.counterfactual(plain), "christians river"])
+    gap, neutral = [], []
+    for penalty in (0.0, 1.0):
+        got = {r.doc_id: r.score for r in toxicity.score(probe, toxicity.fit(d, known, penalty=penalty)).collect()}
+        gap.append(abs(got[0] - got[1]))
+        neutral.append(got[0])
+    assert gap[1] < gap[0] / 2 and neutral[1] < neutral[0]
+    turned = known.withColumn("toxic", F.when(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    one, two = toxicity.fit(d, known), toxicity.fit(d, turned)
+    assert one.words == two.words and np.allclose(one.weights, two.weights) and abs(one.bias - two.bias) < 1e-9
+
+
+def test_toxicity_query(spark, tmp_path):
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choice("alpha beta gamma delta".split()) for _ in range(9)) + " vilething" * (i % 3 == 0)) for i in range(300)] + [(300, None), (301, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(300)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = op7_toxicity(spark, str(tmp_path)).collect()
+    assert len(got) == 302
+    for r in got:
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and r.predicted == (r.score >= 0.5) and 0 <= r.score <= 1
+        assert r.predicted == (r.doc_id % 3 == 0 and r.doc_id < 300)
+
+
 def test_empty_tables(spark):
     none = docs(spark, ["x"]).where("doc_id < 0")
     frames = (token_counts.prefix_counts(none, BYTES), packing.pack(none, BYTES), ngram_join.classes(none), line_dedup.dedup(none), pii.replace(none, KEY), fingerprints.edited_pairs(none), bpe_codec.encode(none, WORDS))

@@ -97,3 +97,27 @@ def test_pipeline(spark, monkeypatch):
         else:
             free.append(2048 - n)
     assert len(places) <= len(free)
+
+
+def test_stages_of_odd_tables(spark):
+    """Every stage on an empty table and on nulls, empty and long texts, repeated rows and extra columns of clashing names."""
+    long = " ".join(f"w{i * i % 977}" for i in range(60_000))
+    near = " ".join(f"v{i}" for i in range(200))
+    texts = [(1, None), (2, ""), (3, long), (4, near), (5, near + " end"), (6, "one line of text that comes twice\none line of text that comes twice"), (6, "one line of text that comes twice\none line of text that comes twice"), (None, "no id here but a text"), (7, "  ")]
+    kind = "doc_id long, text string, source string, n_chars long, score string, n_dropped int, w int, th long, _found array<int>, component_id string"
+    odd = spark.createDataFrame([(i, t, None, len(t or ""), "s", 7, 8, 9, [1], "c") for i, t in texts], kind)
+    rows = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, odd.limit(0), SF).collect() == []
+        got = stage(spark, odd, SF)
+        assert got.columns == odd.columns
+        rows[name] = got.collect()
+        assert all((r.source, r.score, r.n_dropped, r.w, r.th, r["_found"], r.component_id) == (None, "s", 7, 8, 9, [1], "c") and r.n_chars == len(r.text or "") for r in rows[name])
+    ids = {name: sorted(r.doc_id or 0 for r in found) for name, found in rows.items()}
+    assert ids["toxicity"] == ids["PII"] == [0, 1, 2, 3, 4, 5, 6, 6, 7]
+    assert ids["line dedup"] == [0, 1, 2, 3, 4, 5, 6, 7] and ids["n-gram Jaccard join"] == [0, 1, 2, 3, 4, 6, 6, 7]
+    assert [r.text for r in rows["line dedup"] if r.doc_id == 6] == ["one line of text that comes twice"]
+    assert sorted((r.doc_id or 0, r.text) for r in rows["PII"] if r.text is not None) == sorted((i or 0, t) for i, t in texts if t is not None)
+    packed = corpus_pipeline.STAGES[-1][1]
+    assert packed(spark, odd.limit(0), SF).collect() == []
+    assert sorted(r.doc_id or 0 for r in packed(spark, odd, SF).where("start = 0").collect()) == [0, 1, 2, 3, 4, 5, 6, 6, 7]
