@@ -170,7 +170,7 @@ def gfa_links(spark, sf_dir):
 
 
 def votes(spark, sf_dir):
-    return research.vote(_support(spark, sf_dir), 3, 0.5, "item_id")
+    return research.vote(_support(spark, sf_dir), 3, 5, 0.5, "item_id")
 
 
 def _support(spark, sf_dir):
@@ -181,7 +181,7 @@ def _support(spark, sf_dir):
 def weighted_support(spark, sf_dir):
     counts = _support(spark, sf_dir)
     den = counts.groupBy("item_id").agg(F.max("shared").alias("den"))
-    return research.weighted_support(counts.join(den, "item_id"), 0.3, 0.5, "item_id")
+    return research.weighted_support(counts.join(den, "item_id"), 0.3, 0.5, "item_id", least_unique=1, least_shared=3)
 
 
 def em_theta(spark, sf_dir):
@@ -305,14 +305,14 @@ def _sql() -> dict[str, str]:
                    unnest([cast(n_kmers as double), n_colors, n_color_sets, n_dense_sets, n_sparse_sets, m1, m2, o.n]) as value from v, o""",
         "sparse_dense": f"{d} select case when {width} <= len(colors) * 5 + 64 then 'dense' else 'sparse' end as encoding, count(*) n_sets from (select distinct colors from d_idx) group by 1",
         "minimizer_stats": f"{d}, {classes(f'list_min([substr(kmer, i, {M}) for i in range(1, {K - M + 2})])', 'd')}",
-        "kmer_checksum": f"{d}, v as (select sha1(kmer || ' ' || {text}) x from d_idx) select count(*) n, bit_xor(cast('0x' || substr(x, 1, 15) as bigint)) c0, bit_xor(cast('0x' || substr(x, 16, 15) as bigint)) c1 from v",
+        "kmer_checksum": f"{d}, v as (select sha1(kmer || ' ' || {text}) x from d_idx) select count(*) n, bit_xor(cast('0x' || substr(x, 1, 15) as bigint)) c0, bit_xor(cast('0x' || substr(x, 16, 15) as bigint)) c1, bit_xor(cast('0x' || substr(x, 31) as bigint)) c2 from v",
         "color_names": f"with {names} select * from names",
         "dbg_edges": f"with {own}, {ends.format('b')} select a.kmer src, b.kmer dst, right(b.kmer, 1) as label from f a join f b on a.s = b.p",
         "dbg_degrees": f"with {own}, {ends.format('b')} select f.kmer, coalesce(ns.n, 0) indegree, coalesce(np.n, 0) outdegree from f left join ns on f.p = ns.s left join np on f.s = np.p",
         "unitigs": f"with recursive {own}, {ends.format('b')}, {walk} select distinct least(seq, translate(reverse(seq), 'ACGT', 'TGCA')) seq, cast(n_kmers as bigint) n_kmers from uni",
-        "votes": f"""{dr}, {support}, m as (select *, greatest(3, floor(max(uniq) over (partition by item_id) * 0.5)) nu, greatest(3, floor(max(shared) over (partition by item_id) * 0.5)) nh from w),
+        "votes": f"""{dr}, {support}, m as (select *, greatest(3, floor(max(uniq) over (partition by item_id) * 0.5)) nu, greatest(5, floor(max(shared) over (partition by item_id) * 0.5)) nh from w),
             k as (select *, bool_or(uniq >= nu) over (partition by item_id) sure from m) select item_id, color from k where case when sure then uniq >= nu else shared >= nh end""",
-        "weighted_support": f"{dr}, {support} select item_id, color from w qualify (uniq * 0.3e0 + shared * 0.7e0) / max(shared) over (partition by item_id) >= 0.5e0 - 1e-8",
+        "weighted_support": f"{dr}, {support} select item_id, color from w qualify uniq >= 1 and shared >= 3 and (uniq * 0.3e0 + shared * 0.7e0) / max(shared) over (partition by item_id) >= 0.5e0 - 1e-8",
     }
 
 

@@ -12,7 +12,7 @@ import sys
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prismer.operators import align, index, research
+from prismer.operators import align, index, research, verify
 from prismer.operators.index import Index
 from prismer.plans.storage import stored
 from prismer.sources import formats
@@ -115,14 +115,33 @@ def import_sbwt(spark: SparkSession, a: argparse.Namespace) -> None:
 
 
 def export(spark: SparkSession, a: argparse.Namespace) -> None:
-    lines = formats.dump(index.load(spark, a.index))
-    names = {"color_sets": "color_sets.txt", "metadata": "metadata.txt"} | ({"gfa": "unitigs.gfa"} if a.gfa else {"unitigs": "unitigs.fa"})
+    lines = formats.dump(index.load(spark, a.index), not a.no_unitigs)
+    names = {"metadata": "metadata.txt"}
+    if not a.no_unitigs:
+        names |= {"gfa": "unitigs.gfa"} if a.gfa else {"unitigs": "unitigs.fa"}
+    if not a.no_color_sets and not a.colors_to_stdout:
+        names["color_sets"] = "color_sets.txt"
     for what, name in names.items():
         formats.write_lines(lines[what], f"{a.output_prefix}.{name}")
+    if a.colors_to_stdout and not a.no_color_sets:
+        _lines(lines["color_sets"], None)
+
+
+def verify_gfa_links(spark: SparkSession, a: argparse.Namespace) -> None:
+    if wrong := verify.wrong_links(spark.read.text(a.gfa), a.kmer_length).take(5):
+        raise ValueError("; ".join(f"{r.problem} link u{r.a}{r.a_strand} u{r.b}{r.b_strand}" for r in wrong))
+    print("every link is right and none is missing")
+
+
+def compare_dumps(spark: SparkSession, a: argparse.Namespace) -> None:
+    if found := verify.different(spark, a.first, a.second):
+        raise ValueError("the dumps differ: " + "; ".join(found))
+    print("the dumps are equal")
 
 
 def stats(spark: SparkSession, a: argparse.Namespace) -> None:
-    _text(spark, formats.table_lines(index.stats(index.load(spark, a.index))), None)
+    x = index.load(spark, a.index)
+    _text(spark, formats.table_lines(index.stats(x).unionByName(index.unitig_lengths(x))), None)
 
 
 def report(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -176,7 +195,9 @@ def parser() -> argparse.ArgumentParser:
     command("merge", merge, ("--index-file-list", need), ("--output", "-o", need))
     command("import", import_, ("--color-dump-prefix", "-c", need), ("--output", "--out", "-o", need))
     command("import-sbwt", import_sbwt, ("--kmers", "-s", need), ("--output", "-o", need), ("--color-name", need))
-    command("export", export, own, ("--output-prefix", "-o", need), ("--gfa", flag))
+    command("export", export, own, ("--output-prefix", "-o", need), ("--gfa", flag), ("--colors-to-stdout", flag), ("--no-unitigs", flag), ("--no-color-sets", flag))
+    command("verify-gfa-links", verify_gfa_links, ("gfa", {}), ("-k", "--kmer-length", {"type": int, "required": True}))
+    command("compare-dumps", compare_dumps, ("first", {}), ("second", {}))
     command("stats", stats, own)
     command("report", report, own, ("--input", need), out)
     command("filter-reads", filter_reads, ("--reads", need), ("--pseudoalignment", need), ("--colors", need), ("--output", "-o", need))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from prismer.functions.seq import canonical, revcomp
@@ -32,6 +32,11 @@ def degrees(nodes: DataFrame, k: int) -> DataFrame:
     return rows.join(left, "p1").join(right, "p2").select("kmer", "indegree", "outdegree")
 
 
+def colex(nodes: DataFrame) -> DataFrame:
+    """The nodes in the order of their k-mers read from the last base to the first."""
+    return nodes.orderBy(F.reverse("kmer"))
+
+
 def out_neighbors(nodes: DataFrame, k: int, kmer: str) -> DataFrame:
     """(label, kmer) of the nodes that follow one node."""
     return nodes.where(F.substring("kmer", 1, k - 1) == kmer[1:]).select(F.substring("kmer", k, 1).alias("label"), "kmer")
@@ -146,3 +151,19 @@ def gfa_links(unitig: DataFrame, k: int) -> DataFrame:
     flip = lambda c: F.when(F.col(c) == "+", "-").otherwise("+")
     one, other = F.struct("a", "a_strand", "b", "b_strand"), F.struct(F.col("b").alias("a"), flip("b_strand").alias("a_strand"), F.col("a").alias("b"), flip("a_strand").alias("b_strand"))
     return a.join(b, "p").select(F.least(one, other).alias("l")).distinct().select("l.*")
+
+
+def both_ways(links: DataFrame) -> DataFrame:
+    """Each of gfa_links and its reverse; a link that is its own reverse once."""
+    flip = lambda c: F.when(F.col(c) == "+", "-").otherwise("+")
+    turned = links.select(F.col("b").alias("a"), flip("b_strand").alias("a_strand"), F.col("a").alias("b"), flip("a_strand").alias("b_strand"))
+    return links.unionByName(turned).distinct()
+
+
+def rotated(seq: Column, k: int) -> Column:
+    """A cyclic path's sequence (its last k-1 bases are its first) begun at its least k-mer; any other as it is."""
+    n = F.length(seq)
+    cyclic = (n >= k) & (seq.substr(F.lit(1), F.lit(k - 1)) == seq.substr(n - k + 2, F.lit(k - 1)))
+    starts = F.transform(F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1))), lambda i: F.struct(seq.substr(i, F.lit(k)).alias("s"), i.alias("i")))
+    at = F.array_min(starts)["i"]
+    return F.when(cyclic, F.concat(seq, seq.substr(F.lit(k), n)).substr(at, n)).otherwise(seq)

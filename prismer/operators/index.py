@@ -210,3 +210,12 @@ def stats(index: Index) -> DataFrame:
     )
     heads = is_first(index.both_strands(), index.k).agg(F.coalesce(F.sum(F.col("first").cast("double")), F.lit(0.0)).alias("n_noncyclic_unitigs"))
     return sums.crossJoin(heads).select(F.expr("stack(8, " + ", ".join(f"'{c}', {c}" for c in [*sums.columns, *heads.columns]) + ") as (metric, value)"))
+
+
+def unitig_lengths(index: Index) -> DataFrame:
+    """(metric, value) rows: number of unitigs of both strands, cycles too, and their least, greatest and mean length in bases."""
+    from prismer.operators.graph import places
+
+    each = places(index.both_strands().select("kmer"), index.k).groupBy("head").agg((F.count("*") + index.k - 1).cast("double").alias("n"))
+    row = each.agg(F.count("*").cast("double").alias("n_unitigs"), F.min("n").alias("min_unitig_length"), F.max("n").alias("max_unitig_length"), F.avg("n").alias("mean_unitig_length"))
+    return row.select(F.expr("stack(4, " + ", ".join(f"'{c}', {c}" for c in row.columns) + ") as (metric, value)"))

@@ -49,26 +49,30 @@ def finimizer_stats(index: Index) -> DataFrame:
 
 
 def checksum(rows: DataFrame, value: Column) -> DataFrame:
-    """(n, c0, c1): number of rows and the exclusive or of two 60-bit parts of the values' SHA-1, whatever their order."""
+    """(n, c0, c1, c2): number of rows and the exclusive or of the values' SHA-1, whatever their order, in parts of 60, 60 and 40 bits."""
     part = lambda i: F.conv(F.substring(F.sha1(value.cast("binary")), 1 + 15 * i, 15), 16, 10).cast("long")
-    return rows.agg(F.count("*").alias("n"), F.bit_xor(part(0)).alias("c0"), F.bit_xor(part(1)).alias("c1"))
+    return rows.agg(F.count("*").alias("n"), *[F.bit_xor(part(i)).alias(f"c{i}") for i in range(3)])
 
 
-def vote(counts: DataFrame, least: int, fraction: float, key: str = "query_idx") -> DataFrame:
+def vote(counts: DataFrame, least_unique: int, least_shared: int, fraction: float, key: str = "query_idx") -> DataFrame:
     """(key, color) with enough support: unique support if any color has enough of it, else shared support.
 
-    counts: (key, color, uniq, shared). Enough is the greater of least and floor(fraction * the read's most).
+    counts: (key, color, uniq, shared). Enough is the greater of the support's least and floor(fraction * the read's most).
     """
     w = Window.partitionBy(key)
-    need = lambda c: F.greatest(F.lit(least), F.floor(F.max(c).over(w) * fraction))
-    rows = counts.withColumn("_u", F.col("uniq") >= need("uniq")).withColumn("_s", F.col("shared") >= need("shared"))
+    need = lambda c, least: F.greatest(F.lit(least), F.floor(F.max(c).over(w) * fraction))
+    rows = counts.withColumn("_u", F.col("uniq") >= need("uniq", least_unique)).withColumn("_s", F.col("shared") >= need("shared", least_shared))
     return rows.withColumn("_any", F.max(F.col("_u").cast("int")).over(w) == 1).where(F.when(F.col("_any"), F.col("_u")).otherwise(F.col("_s"))).select(key, "color")
 
 
-def weighted_support(counts: DataFrame, weight: float, threshold: float, key: str = "query_idx") -> DataFrame:
-    """(key, color) whose weighted share of unique and shared support reaches the threshold, up to 1e-8; counts as in vote, with den."""
-    share = (F.col("uniq") * weight + F.col("shared") * (1 - weight)) / F.col("den")
-    return counts.where(share >= threshold - 1e-8).select(key, "color")
+def weighted_support(counts: DataFrame, weight: float, threshold: float, key: str = "query_idx", least_unique: int = 0, least_shared: int = 0) -> DataFrame:
+    """(key, color) whose weighted share of unique and shared support reaches the threshold, up to 1e-8; counts as in vote, with den.
+
+    Colors with less than the least of either support are out, and so is a read whose den is not above 0.
+    """
+    enough = (F.col("uniq") >= least_unique) & (F.col("shared") >= least_shared)
+    share = (F.col("uniq") * weight + F.col("shared") * (1 - weight)) / F.when(F.col("den") > 0, F.col("den"))
+    return counts.where(enough & (share >= threshold - 1e-8)).select(key, "color")
 
 
 def consensus_counts(segments: DataFrame, key: str = "query_idx") -> DataFrame:
@@ -81,28 +85,47 @@ def em(classes: DataFrame, rounds: int = 100, tolerance: float = 1e-5, ratio: fl
     """Mixture weights of colors from (colors, n): sets of compatible colors and how many reads have them.
 
     Each round shares a set's reads by the weights of its colors; with ratio a color outside the set
-    counts 1 / ratio as much as one inside. It stops when weights change by less than tolerance.
-    A round is one aggregation; the driver keeps a number for each color.
+    counts 1 / ratio as much as one inside, without it reads of no color are left out. It stops when
+    weights change by less than tolerance. A round is one aggregation; the driver keeps a number for each color.
     """
-    classes = classes.where(F.size("colors") > 0).select("colors", F.col("n").cast("double").alias("n")).persist()
-    names = [r[0] for r in classes.select(F.explode("colors").alias("c")).distinct().orderBy("c").collect()]
-    total = classes.agg(F.sum("n")).first()[0]
+    return _fit(classes, rounds, tolerance, ratio, False)[0]
+
+
+def em_with_ratio(classes: DataFrame, ratio: float, rounds: int = 100, tolerance: float = 1e-5) -> tuple[dict[int, float], float | None]:
+    """Weights as of em, and the ratio, estimated anew each round from the weights before it.
+
+    It is the expected number of reads whose color is in their set over that of the others; None
+    once no read is expected outside its set, from where on colors outside count nothing.
+    """
+    return _fit(classes, rounds, tolerance, ratio, True)
+
+
+def _fit(classes: DataFrame, rounds: int, tolerance: float, ratio: float | None, refit: bool) -> tuple[dict[int, float], float | None]:
+    if ratio is not None and ratio <= 0:
+        raise ValueError("the ratio must be above 0")
+    rows = classes.where(F.size("colors") >= (1 if ratio is None else 0)).select("colors", F.col("n").cast("double").alias("n")).persist()
+    names = [r[0] for r in rows.select(F.explode("colors").alias("c")).distinct().orderBy("c").collect()]
+    total = rows.agg(F.sum("n")).first()[0]
     theta = dict.fromkeys(names, 1 / len(names)) if names else {}
-    outside = 0.0 if ratio is None else 1 / ratio
     for _ in range(rounds if names else 0):
+        outside = 0.0 if ratio is None else 1 / ratio
         weights = F.create_map(*[F.lit(x) for c, t in theta.items() for x in (c, t)])
         inside = F.aggregate(F.transform("colors", lambda c: F.element_at(weights, c)), F.lit(0.0), lambda a, x: a + x)
-        whole = classes.withColumn("_d", inside + F.lit(outside) * (1 - inside))
-        got = whole.select(F.explode("colors").alias("c"), (F.col("n") / F.col("_d")).alias("x")).groupBy("c").agg(F.sum("x").alias("x"))
-        base = whole.agg(F.sum(F.col("n") / F.col("_d"))).first()[0] if outside else 0.0
-        shares = {r.c: r.x for r in got.collect()}
+        whole = rows.withColumn("_in", inside).withColumn("_x", F.col("n") / F.nullif(F.col("_in") + F.lit(outside) * (1 - F.col("_in")), F.lit(0.0)))
+        got = whole.select(F.explode("colors").alias("c"), "_x").groupBy("c").agg(F.sum("_x").alias("x"))
+        shares = {r.c: r.x or 0.0 for r in got.collect()}
+        base, hit = whole.agg(F.sum("_x"), F.sum(F.col("_x") * F.col("_in"))).first() if outside else (0.0, total)
         new = {c: t * (shares.get(c, 0.0) * (1 - outside) + outside * base) / total for c, t in theta.items()}
-        change = math.sqrt(sum((new[c] - theta[c]) ** 2 for c in names))
-        theta = new
+        after = ratio
+        if refit and outside:
+            after = hit / (total - hit) if total - hit > 1e-12 * total else None
+        moved = 0.0 if after == ratio else math.inf if after is None else after - ratio
+        change = math.sqrt(moved**2 + sum((new[c] - theta[c]) ** 2 for c in names))
+        theta, ratio = new, after
         if change < tolerance:
             break
-    classes.unpersist()
-    return theta
+    rows.unpersist()
+    return theta, ratio
 
 
 def log_beta_binomial(n: int, k: int, a: float, b: float) -> float:
@@ -115,3 +138,26 @@ def log_posterior(classes: DataFrame, theta: dict[int, float]) -> float:
     weights = F.create_map(*[F.lit(x) for c, t in theta.items() for x in (c, t)])
     inside = F.aggregate(F.transform("colors", lambda c: F.element_at(weights, c)), F.lit(0.0), lambda a, x: a + x)
     return classes.where(F.size("colors") > 0).agg(F.sum(F.col("n") * F.log(inside))).first()[0]
+
+
+#: Fixed values of the clusters' likelihood: of a read without a hit, with any, and the beta-binomial's pi.
+NO_HIT, SOME_HIT, PI = 0.01, 0.99, 0.65
+
+
+def cluster_likelihoods(hits: DataFrame, clusters: DataFrame, key: str = "query_idx") -> DataFrame:
+    """(key, cluster, likelihood) of reads and the clusters of colors they hit.
+
+    hits: (key, cluster, hits), how many of the cluster's colors a read aligns to; clusters: (cluster, size).
+    The matrix is sparse: a pair without a row, or with 0 hits, has NO_HIT. More hits than colors are an error.
+    A beta-binomial probability is taken relative to that of a hit for every color.
+    """
+    n, k = F.col("size"), F.col("hits")
+    phi = 1 - PI + NO_HIT / n
+    alpha, beta = PI / phi, (1 - PI) / phi
+    # from all n hits down to k, one factor a missing hit
+    step = lambda a, i: a + F.log((k + i) / i) + F.log(i - 1 + F.col("_b")) - F.log(k + i - 1 + F.col("_a"))
+    ln = F.when(n == k, F.lit(0.0)).otherwise(F.aggregate(F.sequence(F.lit(1).cast("long"), n - k), F.lit(0.0), step))
+    pairs = hits.join(clusters, "cluster").withColumn("hits", k.cast("long")).withColumn("size", n.cast("long"))
+    kinds = pairs.select("hits", "size").distinct().withColumn("_a", alpha).withColumn("_b", beta)
+    value = F.when(k == 0, F.lit(NO_HIT)).when((k == 1) & (n == 1), F.lit(SOME_HIT)).when((k < 0) | (k > n), F.raise_error(F.lit("more hits than the cluster has colors")).cast("double")).otherwise(SOME_HIT * F.exp(ln))
+    return pairs.join(kinds.select("hits", "size", value.alias("likelihood")), ["hits", "size"]).select(key, "cluster", "likelihood")

@@ -8,7 +8,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prismer.functions.seq import canonical, kmers
+from prismer.functions.seq import canonical, kmers, revcomp
 from prismer.operators import graph
 from prismer.operators.index import Index, numbered
 
@@ -91,6 +91,11 @@ def file_colors(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, DataF
     return rows.join(of, "path").select("color", "seq"), names
 
 
+def with_reverse(sequences: DataFrame) -> DataFrame:
+    """The sequences, then their reverse complements, with the other columns of each."""
+    return sequences.unionByName(sequences.withColumn("seq", revcomp(F.col("seq"))))
+
+
 def sequence_colors(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(color, seq) and (color, name) with one color a record of a FASTA file, in its order."""
     rows = read_fasta(spark, path).withColumn("color", F.col("ordinal").cast("int"))
@@ -138,22 +143,39 @@ def color_set_lines(found: DataFrame, with_kmer: bool = False, key: str = "query
     return found.select(key, "pos", (F.concat_ws(" ", "kmer", colors) if with_kmer else colors).alias("value"))
 
 
-def dump(index: Index) -> dict[str, DataFrame]:
-    """Text lines (value) of an index: unitigs (FASTA by canonical colored unitig), color_sets, metadata, gfa."""
+def dump(index: Index, unitigs: bool = True) -> dict[str, DataFrame]:
+    """Text lines (value) of an index: unitigs (FASTA by canonical colored unitig), color_sets, metadata, gfa.
+
+    Without unitigs neither they nor the graph are made, and the metadata leaves out their number.
+    """
     sets = index.sets().select("set_id", "size", "colors").persist()
+    sizes = [f"num_colors={index.n_colors}", f"num_color_sets={sets.count()}", f"k={index.k}"]
+    if not unitigs:
+        return _dump_sets(index, sets, sizes)
     units = numbered(graph.canonical_unitigs(index), "unitig_id", ["seq"]).join(sets.select("set_id", "colors"), "colors").select("unitig_id", "seq", "n_kmers", "set_id").persist()
     text = lambda c: c.cast("string")
-    links = graph.gfa_links(units, index.k)
-    meta = [f"num_colors={index.n_colors}", f"num_unitigs={units.count()}", f"num_color_sets={sets.count()}", f"k={index.k}"]
+    links = graph.both_ways(graph.gfa_links(units, index.k))
     gfa = index.spark.createDataFrame([(0, 0, "H\tVN:Z:1.0")], "o int, i long, value string").unionAll(units.select(F.lit(1), "unitig_id", F.format_string("S\tu%d\t%s\tcs:i:%d", "unitig_id", "seq", "set_id"))).unionAll(links.select(F.lit(2), "a", F.format_string(f"L\tu%d\t%s\tu%d\t%s\t{index.k - 1}M", "a", "a_strand", "b", "b_strand")))
-    return {
+    return _dump_sets(index, sets, [f"num_unitigs={units.count()}", *sizes]) | {
         "unitigs": units.orderBy("unitig_id").select(F.concat(F.lit("> unitig_id="), text(F.col("unitig_id")), F.lit(" color_set_id="), text(F.col("set_id")), F.lit("\n"), "seq").alias("value")),
+        "gfa": gfa.orderBy("o", "i", "value").select("value"),
+    }
+
+
+def _dump_sets(index: Index, sets: DataFrame, meta: list[str]) -> dict[str, DataFrame]:
+    text = lambda c: c.cast("string")
+    return {
         "color_sets": sets.orderBy("set_id").select(F.concat_ws(" ", F.concat(F.lit("color_set_id="), text(F.col("set_id"))), F.concat(F.lit("size="), text(F.col("size"))), F.transform("colors", text)).alias("value")),
         "metadata": index.spark.createDataFrame([(x,) for x in meta], "value string"),
-        "gfa": gfa.orderBy("o", "i", "value").select("value"),
     }
 
 
+def unitig_rows(spark: SparkSession, path: str) -> DataFrame:
+    """(set_id, seq) of dumped unitigs."""
+    units = spark.read.option("lineSep", "\n>").text(path).where(F.length(F.trim("value")) > 0)
+    return units.select(F.regexp_extract("value", r"color_set_id=(\d+)", 1).cast("long").alias("set_id"), F.upper(F.regexp_replace(F.regexp_replace("value", r"^[^\n]*\n", ""), r"\s", "")).alias("seq"))
+
+
 def load_dump(spark: SparkSession, unitigs: str, color_sets: str, metadata: str) -> Index:
     """An index from dumped unitigs, color sets and metadata; colors are named by their numbers."""
     meta = dict(r[0].split("=", 1) for r in spark.read.text(metadata).collect() if r[0].strip())
@@ -168,8 +190,7 @@ def load_dump(spark: SparkSession, unitigs: str, color_sets: str, metadata: str)
     sizes = spark.read.text(color_sets).where(F.length(F.trim("value")) > 0).select(F.regexp_extract("value", r"size=(\d+)", 1).cast("int").alias("size"), F.size(parts).alias("n"))
     if sizes.where("size is null or size != n - 2").take(1):
         raise ValueError("a color set's size differs from its colors")
-    units = spark.read.option("lineSep", "\n>").text(unitigs).where(F.length(F.trim("value")) > 0)
-    rows = units.select(F.regexp_extract("value", r"color_set_id=(\d+)", 1).cast("long").alias("set_id"), F.upper(F.regexp_replace(F.regexp_replace("value", r"^[^\n]*\n", ""), r"\s", "")).alias("seq"))
+    rows = unitig_rows(spark, unitigs)
     if unknown := rows.join(sets.select("set_id"), "set_id", "left_anti").select("set_id").take(1):
         raise ValueError(f"unitigs name the unknown color set {unknown[0][0]}")
     table = rows.select("set_id", F.explode(kmers(F.col("seq"), k)).alias("kmer")).select(canonical(F.col("kmer")).alias("kmer"), "set_id").distinct().join(sets, "set_id").select("kmer", F.array_sort("colors").alias("colors"))
