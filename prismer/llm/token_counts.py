@@ -99,7 +99,7 @@ def counter(path: str) -> bpe.Pieces:
                     before = x
             return b"".join(out)
 
-    return Whole(plain.words, odd, dict.fromkeys(t.special, b""), "i1")
+    return Whole(plain.words, odd, dict.fromkeys(t.special, b""), "i1", room=400_000)
 
 
 def prefix_counts(docs: DataFrame, path: str) -> DataFrame:
