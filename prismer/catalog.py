@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prismer.functions.seq import BASES, LETTERS, dna, revcomp
+from prismer.functions.seq import BASES, LETTERS, TEXT_CODES, dna, revcomp
 from prismer.operators import align, graph, index, research
 from prismer.operators.index import Index
 from prismer.plans.storage import stored
@@ -25,8 +25,9 @@ GRAPH_K = 9
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts as they are: the index reads them by TEXT_CODES, which stand for functions.seq.dna."""
     rows = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return rows.where("text is not null").select(F.regexp_extract("source", "([0-9]+)$", 1).cast("int").alias("color"), dna(F.col("text")).alias("seq"), "doc_id")
+    return rows.where("text is not null").select(F.regexp_extract("source", "([0-9]+)$", 1).cast("int").alias("color"), F.col("text").alias("seq"), "doc_id")
 
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,7 +41,7 @@ def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def built(spark: SparkSession, sf_dir: str) -> Index:
-    return index.build(documents(spark, sf_dir).select("color", "seq"), K, sources(spark, sf_dir))
+    return index.build(documents(spark, sf_dir).select("color", "seq"), K, sources(spark, sf_dir), TEXT_CODES)
 
 
 def item_index(spark: SparkSession, sf_dir: str, k: int = K) -> Index:
@@ -57,7 +58,7 @@ def kmer_index(spark, sf_dir):
 
 
 def color_set_sizes(spark, sf_dir):
-    rows = built(spark, sf_dir).both_strands().groupBy("colors").agg(F.count("*").alias("n_kmers"))
+    rows = built(spark, sf_dir).set_sizes()
     return rows.select(joined().alias("colors"), F.size("colors").cast("long").alias("size"), "n_kmers")
 
 
@@ -115,8 +116,8 @@ def filter_reads(spark, sf_dir):
 def merge_union(spark, sf_dir):
     docs = documents(spark, sf_dir).select("color", "seq")
     names = sources(spark, sf_dir)
-    low = index.build(docs.where("color < 10"), K, names.where("color < 10"))
-    high = index.build(docs.where("color >= 10").withColumn("color", F.col("color") - 10), K, names.where("color >= 10").withColumn("color", F.col("color") - 10))
+    low = index.build(docs.where("color < 10"), K, names.where("color < 10"), TEXT_CODES)
+    high = index.build(docs.where("color >= 10").withColumn("color", F.col("color") - 10), K, names.where("color >= 10").withColumn("color", F.col("color") - 10), TEXT_CODES)
     return index.merge([low, high]).both_strands().select("kmer", joined().alias("colors"))
 
 
@@ -127,7 +128,7 @@ def index_stats(spark, sf_dir):
 def sparse_dense(spark, sf_dir):
     x = built(spark, sf_dir)
     kind = F.when(index.is_dense(F.size("colors"), x.n_colors), "dense").otherwise("sparse")
-    return x.kmers.select("colors").distinct().groupBy(kind.alias("encoding")).agg(F.count("*").alias("n_sets"))
+    return x.set_sizes().groupBy(kind.alias("encoding")).agg(F.count("*").alias("n_sets"))
 
 
 def minimizer_stats(spark, sf_dir):

@@ -60,32 +60,81 @@ for _i, _c in enumerate("ACGT"):
 PACKED = 31
 
 
-def packed(seqs: pa.Array, k: int, most: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(row, k-mer) of every canonical k-mer of the sequences, in parts of `most` places; a k-mer is a number of two bits a base."""
-    offsets = np.frombuffer(seqs.buffers()[1], np.int32, len(seqs) + 1, 4 * seqs.offset)
-    data = seqs.buffers()[2]
-    code = CODES[np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]]] if data is not None else np.zeros(0, np.uint8)
-    ends, row = offsets[1:] - offsets[0], np.repeat(np.arange(len(seqs)), np.diff(offsets))
-    for a in range(0, len(code) - k + 1, most):
-        part = code[a : a + most + k - 1]
-        n = len(part) - k + 1
-        bad = np.append(0, np.cumsum(part == 4))
-        forward, back = np.zeros(n, np.int64), np.zeros(n, np.int64)
-        for j in range(k):
-            base = part[j : j + n].astype(np.int64) & 3
-            forward = forward << 2 | base
-            back |= (3 - base) << (2 * j)
-        own = row[a : a + n]
-        use = (bad[k:] == bad[:n]) & (np.arange(a + k, a + k + n) <= ends[own])
-        yield own[use], np.minimum(forward, back)[use]
+#: dna of bytes: letters by their place in the alphabet mod 4, full stops and line ends break a sequence, 5 marks what is left out.
+TEXT_CODES = np.full(256, 5, np.uint8)
+for _c, _b in zip(LETTERS, BASES):
+    TEXT_CODES[ord(_c)] = "ACGT".index(_b)
+TEXT_CODES[[ord("."), ord("\n")]] = 4
+
+
+def _windows(code: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each window of k bases as a number and its reverse complement's, from windows of half the length."""
+    kind = np.uint32 if k <= 15 else np.uint64
+    f, b, size = code.astype(kind), (3 - (code & 3)).astype(kind), 1
+    f &= kind(3)
+    whole = None
+    rest = k
+    while rest:
+        if rest & 1:
+            if whole is None:
+                whole = (f, b, size)
+            else:
+                wf, wb, ws = whole
+                n = len(f) - ws
+                whole = ((wf[:n] << kind(2 * size)) | f[ws:], wb[:n] | (b[ws:] << kind(2 * ws)), ws + size)
+        rest >>= 1
+        if rest:
+            f, b = (f[:-size] << kind(2 * size)) | f[size:], b[:-size] | (b[size:] << kind(2 * size))
+            size *= 2
+    n = len(code) - k + 1
+    return whole[0][:n], whole[1][:n]
+
+
+def packed(seqs: pa.Array, k: int, most: int = 1 << 18, codes: np.ndarray = CODES) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(row, k-mer) of every canonical k-mer of the sequences, in parts of `most` bytes; a k-mer is a number of two bits a base.
+
+    codes: of each byte its base, 4 for what no k-mer holds, 5 for what is left out of the sequence.
+    """
+    offsets = np.frombuffer(seqs.buffers()[1], np.int32, len(seqs) + 1, 4 * seqs.offset).astype(np.int64)
+    if seqs.buffers()[2] is None:
+        return
+    data = np.frombuffer(seqs.buffers()[2], np.uint8)
+    before, before_row = np.zeros(0, np.uint8), np.zeros(0, np.int32)
+    for a in range(int(offsets[0]), int(offsets[-1]), most):
+        z = min(a + most, int(offsets[-1]))
+        # rows that have bytes here
+        low, high = int(np.searchsorted(offsets, a, "right")) - 1, int(np.searchsorted(offsets, z, "left"))
+        row = np.repeat(np.arange(low, high, dtype=np.int32), np.diff(np.clip(offsets[low : high + 1], a, z)))
+        code = codes[data[a:z]]
+        keep = code < 5
+        if not keep.all():
+            code, row = code[keep], row[keep]
+        code, row = np.append(before, code), np.append(before_row, row)
+        before, before_row = code[max(len(code) - k + 1, 0) :], row[max(len(code) - k + 1, 0) :]
+        n = len(code) - k + 1
+        if n <= 0:
+            continue
+        bad = np.append(np.int32(0), np.cumsum(code == 4, dtype=np.int32))
+        forward, back = _windows(code, k)
+        use = (bad[k:] == bad[:n]) & (row[:n] == row[k - 1 :])
+        yield row[:n][use], np.minimum(forward, back)[use]
+
+
+def turned(kmers: np.ndarray, k: int) -> np.ndarray:
+    """The reverse complements of packed k-mers."""
+    x = kmers.astype(np.uint64)
+    for mask, by in ((0x3333333333333333, 2), (0x0F0F0F0F0F0F0F0F, 4)):
+        x = ((x >> np.uint64(by)) & np.uint64(mask)) | ((x & np.uint64(mask)) << np.uint64(by))
+    return ~x.byteswap() >> np.uint64(64 - 2 * k)
 
 
 def unpacked(kmers: np.ndarray, k: int) -> pa.Array:
     """Packed k-mers as strings."""
     out = np.empty((len(kmers), k), np.uint8)
     letters = np.frombuffer(b"ACGT", np.uint8)
+    kmers = kmers.astype(np.uint64)
     for j in range(k):
-        out[:, k - 1 - j] = letters[(kmers >> (2 * j)) & 3]
+        out[:, k - 1 - j] = letters[((kmers >> np.uint64(2 * j)) & np.uint64(3)).astype(np.uint8)]
     return pa.Array.from_buffers(pa.string(), len(kmers), [None, pa.py_buffer(np.arange(len(kmers) + 1, dtype=np.int32) * np.int32(k)), pa.py_buffer(out)])
 
 

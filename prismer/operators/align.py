@@ -12,18 +12,17 @@ from prismer.operators.index import Index
 def hits(index: Index, reads: DataFrame, key: str = "query_idx") -> DataFrame:
     """(key, pos, kmer, colors) for every place of every read; colors is null where the k-mer is unknown.
 
-    Distinct query k-mers meet the index, so a k-mer that is frequent in the reads is one row of the
-    join; Spark broadcasts the smaller side where its size allows.
+    Distinct query k-mers meet the index, so a k-mer that is frequent in the reads is one row; see Index.known.
     """
     places = positions(reads, index.k, key).withColumn("_c", canonical(F.col("kmer")))
-    known = index.kmers.withColumnRenamed("kmer", "_c").join(places.select("_c").distinct(), "_c", "left_semi")
+    known = index.known(places.select(F.col("_c").alias("kmer"))).withColumnRenamed("kmer", "_c")
     return places.join(known, "_c", "left").select(key, "pos", "kmer", "colors")
 
 
 def color_counts(index: Index, reads: DataFrame, key: str = "query_idx") -> tuple[DataFrame, DataFrame]:
     """(key, color, hits), and (key, n_all, n_rel) for reads with any place; counted by distinct k-mer before colors are unnested."""
     places = positions(reads, index.k, key).groupBy(key, canonical(F.col("kmer")).alias("kmer")).agg(F.count("*").alias("n"))
-    known = index.kmers.join(places.select("kmer").distinct(), "kmer", "left_semi")
+    known = index.known(places.select("kmer"))
     met = places.join(known, "kmer", "left")
     totals = met.groupBy(key).agg(F.sum("n").alias("n_all"), F.sum(F.when(F.col("colors").isNotNull(), F.col("n")).otherwise(0)).alias("n_rel"))
     sets = met.where("colors is not null").groupBy(key, "colors").agg(F.sum("n").alias("n"))
