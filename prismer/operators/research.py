@@ -3,12 +3,18 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from prismer.functions.seq import minimizer
-from prismer.operators.index import Index
+from prismer.functions.seq import CODES, PACKED, minimizer, turned, unpacked
+from prismer.operators.index import Index, Tally
+
+#: Bits of a tally's keys.
+WIDE = 62
 
 
 def class_stats(classes: DataFrame) -> DataFrame:
@@ -16,15 +22,26 @@ def class_stats(classes: DataFrame) -> DataFrame:
 
     A k-mer is correct if its set is the union of its class. The similarity is that of its set and the union.
     """
-    sizes = classes.groupBy("key", "colors").agg(F.count("*").alias("n"))
-    # a frequent key has many sets but no more colors than there are
-    union = sizes.select("key", F.explode("colors").alias("color")).distinct().groupBy("key").agg(F.array_sort(F.collect_set("color")).alias("union"))
-    each = sizes.join(union, "key").groupBy("key").agg(
-        F.sum("n").alias("size"),
-        F.sum(F.when(F.col("colors") == F.col("union"), F.col("n")).otherwise(0)).alias("correct"),
-        (F.sum(F.col("n") * F.size("colors") / F.size("union")) / F.sum("n")).alias("jaccard"),
-    )
-    return each.groupBy(F.length("key").alias("len")).agg(
+    # a row for the set's size, and one for each color
+    parts = F.concat(F.array(F.struct(F.lit(None).cast("int").alias("color"), F.size("colors").alias("size"))), F.transform("colors", lambda c: F.struct(c.cast("int").alias("color"), F.lit(None).cast("int").alias("size"))))
+    each = classes.select("key", F.explode(parts).alias("p")).groupBy("key", "p.color", "p.size").agg(F.count("*").alias("n"))
+    return _class_stats(each)
+
+
+def _class_stats(each: DataFrame) -> DataFrame:
+    """class_stats from (key, color, size, n): for each key how many sets have a size (color null), and its colors (size null).
+
+    A set of the size of its class's union is the union; so neither sets nor unions are needed, but their sizes.
+    """
+    sizes = F.collect_list(F.when(F.col("color").isNull(), F.struct("size", "n")))
+    union = F.count_if(F.col("color").isNotNull())
+    total = lambda f: F.aggregate("_s", F.lit(0).cast("long"), lambda a, x: a + f(x))
+    keys = each.groupBy("key").agg(sizes.alias("_s"), union.alias("_u"))
+    keys = keys.select(
+        "key", total(lambda x: x["n"]).alias("size"), total(lambda x: F.when(x["size"] == F.col("_u"), x["n"]).otherwise(0)).alias("correct"),
+        (total(lambda x: x["n"] * x["size"]) / F.col("_u") / total(lambda x: x["n"])).alias("jaccard"),
+    )
+    return keys.groupBy(F.length("key").alias("len")).agg(
         (F.sum("correct") / F.sum("size")).alias("frac"), F.sum("correct").alias("correct"), F.sum("size").alias("total"),
         F.avg("size").alias("mean_class_size"), F.avg("jaccard").alias("mean_jaccard"), F.count("*").alias("n"),
     )
@@ -32,19 +49,149 @@ def class_stats(classes: DataFrame) -> DataFrame:
 
 def minimizer_stats(index: Index, m: int) -> DataFrame:
     """class_stats of k-mers by their smallest substring of length m."""
-    return class_stats(index.both_strands().select(minimizer(F.col("kmer"), index.k, m).alias("key"), "colors"))
+    if index.k > PACKED:
+        return class_stats(index.both_strands().select(minimizer(F.col("kmer"), index.k, m).alias("key"), "colors"))
+    each = index.fold(_minimizers(index.k, m), "key string, color int, size int, n long")
+    return _class_stats(each.groupBy("key", "color", "size").agg(F.sum("n").alias("n")))
+
+
+def _minimizers(k: int, m: int):
+    """(key, color, size, n) for the minimizers of both strands: k-mers by set size and by color, summed in the task."""
+    u = np.uint64
+
+    def fold():
+        tallies = Tally(1 << 20), Tally(1 << 20)  # by key and size, by key and color
+
+        def least(kmer: np.ndarray) -> np.ndarray:
+            out = kmer & u((1 << 2 * m) - 1)
+            for i in range(1, k - m + 1):
+                out = np.minimum(out, (kmer >> u(2 * i)) & u((1 << 2 * m) - 1))
+            return out
+
+        def put(which: int, key: np.ndarray, value: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+            if 2 * m + int(value.max()).bit_length() > WIDE:
+                yield rows(which, key, value, n)
+                return
+            tallies[which].add((value.astype(np.int64) << 2 * m) | key.astype(np.int64), n)
+            if tallies[which].full:
+                yield from emptied(which)
+
+        def rows(which: int, key: np.ndarray, value: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            own, none = pa.array(value.astype(np.int32)), pa.nulls(len(key), pa.int32())
+            return pa.RecordBatch.from_arrays([unpacked(key, m), *((none, own) if which == 0 else (own, none)), pa.array(n)], ["key", "color", "size", "n"])
+
+        def emptied(which: int) -> Iterator[pa.RecordBatch]:
+            for both, n in tallies[which].taken():
+                yield rows(which, (both & ((1 << 2 * m) - 1)).astype(u), both >> 2 * m, n)
+
+        def take(kmer: np.ndarray, at: np.ndarray, color: np.ndarray) -> Iterator[pa.RecordBatch]:
+            kmer, size = kmer.astype(u), np.diff(at)
+            other = turned(kmer, k)
+            ways = [least(kmer), least(other)]
+            single = other == kmer  # its own reverse complement counts once
+            for key, n in zip(ways, (np.ones(len(kmer), np.int64), (~single).astype(np.int64))):
+                own = n > 0
+                if own.any():
+                    yield from put(0, key[own], size[own], n[own])
+                    yield from put(1, np.repeat(key, size), color, np.repeat(n, size))
+
+        def end() -> Iterator[pa.RecordBatch]:
+            yield from emptied(0)
+            yield from emptied(1)
+
+        return take, end
+
+    return fold
+
+
+def _ends(k: int):
+    """Rows (kmer) to (kmer, s): the substrings that end each k-mer, as numbers of their length and, last base first, their bases."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, 1 << 15):
+                kmer = _numbers(batch.column(0).slice(a, 1 << 15), k)
+                back = _reversed(kmer, k)
+                for i in range(1, k + 1):
+                    yield pa.RecordBatch.from_arrays([pa.array(kmer), pa.array(_long(back >> np.uint64(2 * (k - i)), i))], ["kmer", "s"])
+
+    return run
+
+
+def _inner(k: int):
+    """Rows (kmer) to (kmer, s) of all substrings, as _ends gives them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, 1 << 15):
+                kmer = _numbers(batch.column(0).slice(a, 1 << 15), k)
+                back = _reversed(kmer, k)
+                for i in range(1, k + 1):
+                    for j in range(k - i + 1):
+                        yield pa.RecordBatch.from_arrays([pa.array(kmer), pa.array(_long((back >> np.uint64(2 * j)) & np.uint64((1 << 2 * i) - 1), i))], ["kmer", "s"])
+
+    return run
+
+
+def _numbers(kmers: pa.Array, k: int) -> np.ndarray:
+    """K-mers of either strand as numbers."""
+    offsets = np.frombuffer(kmers.buffers()[1], np.int32, len(kmers) + 1, 4 * kmers.offset)
+    code = CODES[np.frombuffer(kmers.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].reshape(-1, k)].astype(np.int64)
+    out = np.zeros(len(kmers), np.int64)
+    for j in range(k):
+        out = out << 2 | code[:, j]
+    return out
+
+
+def _reversed(kmer: np.ndarray, k: int) -> np.ndarray:
+    """The bases of packed k-mers from the last to the first: the complement of the reverse complement."""
+    return ~turned(kmer, k) & np.uint64((1 << 2 * k) - 1)
+
+
+def _long(bases: np.ndarray, size: int) -> np.ndarray:
+    """Bases after a leading 1, so that shorter strings are smaller numbers."""
+    return (bases | np.uint64(1 << 2 * size)).astype(np.int64)
+
+
+def _strings(k: int):
+    """Rows (kmer, s) to (kmer, key) with both as strings; s is as of _ends, of any length."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            s = batch.column(1).to_numpy()
+            for size in range(1, k + 1):
+                own = np.flatnonzero((s >> 2 * size) == 1)
+                if len(own):
+                    bases = _reversed(s[own] & ((1 << 2 * size) - 1), size)
+                    yield pa.RecordBatch.from_arrays([unpacked(batch.column(0).to_numpy()[own], k), unpacked(bases, size)], ["kmer", "key"])
+
+    return run
 
 
 def finimizer_stats(index: Index) -> DataFrame:
     """class_stats of k-mers by the shortest substring that ends exactly one k-mer's prefix of that end; of several the least by reversed order.
 
-    Substrings are counted as ends of k-mers of the index, k-mers alone (no padded ones).
+    Substrings are counted as ends of k-mers of the index, k-mers alone (no padded ones). They travel as
+    numbers; of the ends of a k-mer that no other has the shortest is kept, as a longer one is never chosen.
     """
     k, nodes = index.k, index.both_strands()
+    if k > PACKED:
+        return _finimizers_of_strings(nodes, k)
+    ends = nodes.select("kmer").mapInArrow(_ends(k), "kmer long, s long")
+    unique = ends.groupBy("s").agg(F.count("*").alias("n"), F.min("kmer").alias("kmer")).where("n = 1").groupBy("kmer").agg(F.min("s").alias("s")).select("s")
+    # never sent whole to each executor: it grows with the index
+    inner = nodes.select("kmer").mapInArrow(_inner(k), "kmer long, s long").join(unique.hint("shuffle_merge"), "s")
+    best = inner.groupBy("kmer").agg(F.min("s").alias("s"))
+    named = best.mapInArrow(_strings(k), "kmer string, key string")
+    return class_stats(named.hint("shuffle_merge").join(nodes, "kmer").select("key", "colors"))
+
+
+def _finimizers_of_strings(nodes: DataFrame, k: int) -> DataFrame:
+    """finimizer_stats for any k."""
     ends = nodes.select(F.explode(F.array(*[F.substring("kmer", -i, i) for i in range(1, k + 1)])).alias("s"))
     unique = ends.groupBy("s").count().where("count = 1").select("s")
     inner = nodes.select("kmer", "colors", F.explode(F.array_distinct(F.array(*[F.substring("kmer", e - i + 1, i) for e in range(1, k + 1) for i in range(1, e + 1)]))).alias("s"))
-    best = inner.join(unique, "s").groupBy("kmer", "colors").agg(F.min(F.struct(F.length("s").alias("l"), F.reverse("s").alias("r"))).alias("b"))
+    best = inner.join(unique.hint("shuffle_merge"), "s").groupBy("kmer", "colors").agg(F.min(F.struct(F.length("s").alias("l"), F.reverse("s").alias("r"))).alias("b"))
     return class_stats(best.select(F.reverse("b.r").alias("key"), "colors"))
 
 

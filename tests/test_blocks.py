@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from prismer.functions.seq import TEXT_CODES, dna, packed, turned, unpacked
-from prismer.operators import align, blocks, index
+from prismer.operators import align, blocks, graph, index, research
 
 
 def texts(n, k, seed=1):
@@ -103,3 +103,51 @@ def test_set_sizes_by_parts(spark, k):
         want[tuple(c)] = want.get(tuple(c), 0) + 1
     got = x.set_sizes().collect()
     assert {tuple(r.colors): r.n_kmers for r in got} == want and len(got) == len(want)
+
+
+@pytest.mark.parametrize("k", [2, 4, 5, 9])
+def test_firsts_by_starts(spark, k):
+    x = index.build(spark.createDataFrame(texts(60, k)[:: 8 if k < 9 else 1], "color int, seq string"), k)
+    want = graph.is_first(x.both_strands(), k).where("first").count()
+    assert index.n_first(x).first()[0] == want
+    # an index without blocks, as a loaded one
+    assert index.n_first(index.Index(k, x.kmers, x.colors)).first()[0] == want
+    assert {r.metric: r.value for r in index.stats(x).collect()}["n_noncyclic_unitigs"] == want
+
+
+def classes_by_hand(rows):
+    """class_stats from (key, set)."""
+    by_key, out = {}, {}
+    for key, s in rows:
+        by_key.setdefault(key, []).append(set(s))
+    for key, sets in by_key.items():
+        union = set().union(*sets)
+        out.setdefault(len(key), []).append((len(sets), sum(s == union for s in sets), sum(len(s) / len(union) for s in sets) / len(sets)))
+    return {n: (sum(g[1] for g in v), sum(g[0] for g in v), len(v), round(sum(g[2] for g in v) / len(v), 9)) for n, v in out.items()}
+
+
+def stats_of(df):
+    return {r.len: (r.correct, r.total, r.n, round(r.mean_jaccard, 9)) for r in df.collect()}
+
+
+@pytest.mark.parametrize("k,m", [(4, 2), (9, 4), (9, 9), (31, 31)])
+def test_minimizers_by_parts(spark, k, m):
+    rows = texts(60, k)
+    x = index.build(spark.createDataFrame(rows, "color int, seq string"), k)
+    want = classes_by_hand((min(w[i : i + m] for i in range(k - m + 1)), c) for w, c in brute(rows, k).items())
+    assert stats_of(research.minimizer_stats(x, m)) == want
+    assert stats_of(research.minimizer_stats(index.Index(k, x.kmers, x.colors), m)) == want
+
+
+@pytest.mark.parametrize("k", [4, 9, 31, 33])
+def test_finimizers_are_not_sent_whole(spark, k):
+    rows = texts(25, k)
+    nodes = brute(rows, k)
+    ends = {}
+    for w in nodes:
+        for i in range(1, k + 1):
+            ends[w[-i:]] = ends.get(w[-i:], 0) + 1
+    best = lambda w: min((len(s), s[::-1]) for e in range(1, k + 1) for s in (w[i:e] for i in range(e)) if ends.get(s) == 1)[1][::-1]
+    got = research.finimizer_stats(index.build(spark.createDataFrame(rows, "color int, seq string"), k))
+    assert stats_of(got) == classes_by_hand((best(w), c) for w, c in nodes.items())
+    assert "BroadcastHashJoin" not in got._jdf.queryExecution().executedPlan().toString()
