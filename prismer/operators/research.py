@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from prismer.functions.seq import CODES, PACKED, minimizer, turned, unpacked
 from prismer.operators.index import Index, Tally
+from prismer.plans.storage import stored
 
 #: Bits of a tally's keys.
 WIDE = 62
@@ -118,17 +119,20 @@ def _ends(k: int):
     return run
 
 
-def _inner(k: int):
-    """Rows (kmer) to (kmer, s) of all substrings, as _ends gives them."""
+def _inner(k: int, least: int):
+    """Rows (kmer, s) to (kmer, s) of all substrings of a k-mer, as _ends gives them, from the size `least` up to that of its own s."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a in range(0, batch.num_rows, 1 << 15):
-                kmer = _numbers(batch.column(0).slice(a, 1 << 15), k)
+                kmer, most = (c.to_numpy() for c in batch.slice(a, 1 << 15).columns)
                 back = _reversed(kmer, k)
-                for i in range(1, k + 1):
+                for i in range(least, k + 1):
+                    own = (most >> 2 * i) > 0
+                    if not own.any():
+                        break
                     for j in range(k - i + 1):
-                        yield pa.RecordBatch.from_arrays([pa.array(kmer), pa.array(_long((back >> np.uint64(2 * j)) & np.uint64((1 << 2 * i) - 1), i))], ["kmer", "s"])
+                        yield pa.RecordBatch.from_arrays([pa.array(kmer[own]), pa.array(_long((back[own] >> np.uint64(2 * j)) & np.uint64((1 << 2 * i) - 1), i))], ["kmer", "s"])
 
     return run
 
@@ -178,9 +182,12 @@ def finimizer_stats(index: Index) -> DataFrame:
     if k > PACKED:
         return _finimizers_of_strings(nodes, k)
     ends = nodes.select("kmer").mapInArrow(_ends(k), "kmer long, s long")
-    unique = ends.groupBy("s").agg(F.count("*").alias("n"), F.min("kmer").alias("kmer")).where("n = 1").groupBy("kmer").agg(F.min("s").alias("s")).select("s")
+    unique = stored(ends.groupBy("s").agg(F.count("*").alias("n"), F.min("kmer").alias("kmer")).where("n = 1").groupBy("kmer").agg(F.min("s").alias("s")))
+    shortest = unique.agg(F.min("s")).first()[0]
+    # a k-mer's own end is such a substring, so none longer is chosen
+    inner = unique.mapInArrow(_inner(k, (shortest.bit_length() - 1) // 2 if shortest else k), "kmer long, s long")
     # never sent whole to each executor: it grows with the index
-    inner = nodes.select("kmer").mapInArrow(_inner(k), "kmer long, s long").join(unique.hint("shuffle_merge"), "s")
+    inner = inner.join(unique.select("s").hint("shuffle_merge"), "s")
     best = inner.groupBy("kmer").agg(F.min("s").alias("s"))
     named = best.mapInArrow(_strings(k), "kmer string, key string")
     return class_stats(named.hint("shuffle_merge").join(nodes, "kmer").select("key", "colors"))
