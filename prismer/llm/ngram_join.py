@@ -314,6 +314,20 @@ def _bits(ids: DataFrame, log: int = 23) -> np.ndarray:
     return out
 
 
+def _maybe_met(lists: DataFrame, ids: DataFrame, columns: list[str]) -> DataFrame:
+    """The rows of lists whose h may be one of ids (id), by the ids' bits; so the others, mostly all, are not shuffled to meet the ids."""
+    bits = lists.sparkSession.sparkContext.broadcast(_bits(ids))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = bits.value
+        for batch in batches:
+            place = batch.column(len(columns)).to_numpy()
+            yield batch.select(range(len(columns))).filter(pa.array((words[place >> 6] >> (place & 63)) & 1 == 1))
+
+    at = F.pmod(F.xxhash64("h"), F.lit(1 << 23)).alias("place")
+    return lists.select(*columns, at).mapInArrow(run, ", ".join(f"{c} long" for c in columns))
+
+
 def plausible(pairs: DataFrame, base: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of doc_ids whose sketches do not rule out a link: no linked pair is lost, and sets, which are far larger, move for the others only."""
 
@@ -416,7 +430,7 @@ def classes(docs: DataFrame, width: int = 5, percent: int = 80, most: int = 1024
         root = known.select(F.col("node").alias("g"), "root")
         # a group of several entities may have members elsewhere than its leader, so its pairs stay open
         apart = groups.where("k > 1").select("g", F.xxhash64("g").alias("own"))
-        again = lists.join(more, "h", "left_semi").join(root, "g", "left").join(apart, "g", "left")
+        again = _maybe_met(lists, more.selectExpr("h as id"), ["h", "g", "n", "at", *bits]).join(more, "h", "left_semi").join(root, "g", "left").join(apart, "g", "left")
         again = saved(again.select("h", "g", "n", "at", F.coalesce("own", "root", "g").alias("c"), *bits))
         several = again.groupBy("h").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x != y").select("h")
         kinds = ", ".join(f"{c} long" for c in ("h", "g", "n", "at", "c", *bits, "block"))

@@ -464,3 +464,25 @@ def test_empty_tables(spark):
     frames = (token_counts.prefix_counts(none, BYTES), packing.pack(none, BYTES), ngram_join.classes(none), line_dedup.dedup(none), pii.replace(none, KEY), fingerprints.edited_pairs(none), bpe_codec.encode(none, WORDS))
     for frame in frames:
         assert frame.collect() == []
+
+
+def test_lists_met_again_are_not_shuffled_whole(spark):
+    lists = spark.range(40_000).selectExpr("xxhash64(id % 9000) as h", "id as g", "3L as n")
+    ids = lists.select(F.col("h").alias("id")).distinct().where("pmod(id, 300) = 7")
+    want = {r.g for r in lists.join(ids.withColumnRenamed("id", "h"), "h", "left_semi").collect()}
+    got = ngram_join._maybe_met(lists, ids, ["h", "g", "n"])
+    assert got.columns == lists.columns and want
+    rows = [r.g for r in got.collect()]
+    assert len(set(rows)) == len(rows) < 2 * len(want) and want <= set(rows)
+    assert ngram_join._maybe_met(lists, ids.limit(0), ["h", "g", "n"]).count() == 0
+    # the lists that hold more than some neighbours meet by way of it
+    asked = []
+    own = ngram_join._maybe_met
+    ngram_join._maybe_met = lambda *a: asked.append(own(*a)) or asked[-1]
+    try:
+        words = [f"w{i}" for i in range(60)]
+        docs = spark.createDataFrame([(i, " ".join(words + [f"x{i}"])) for i in range(12)], "doc_id long, text string")
+        assert {r.component_id for r in ngram_join.classes(docs, 3, 90).collect()} == {0}
+    finally:
+        ngram_join._maybe_met = own
+    assert len(asked) == 1
