@@ -87,6 +87,11 @@ def counter(path: str) -> bpe.Pieces:
         return plain
 
     class Whole(bpe.Pieces):
+        def _singles(self, texts: list[str]) -> list[bytes]:
+            usual = [x for x in texts if not self.cut.search(x)]
+            done = iter(plain._singles(usual) if usual else [])
+            return [self._single(x) if self.cut.search(x) else next(done) for x in texts]
+
         def _single(self, text: str) -> bytes:
             out, before = [], ""
             for x in self.cut.split(text):

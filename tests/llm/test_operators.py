@@ -1,6 +1,7 @@
 """Training-data operators against libraries and brute force on small fixtures."""
 
 import hashlib
+import json
 import random
 import re
 import zlib
@@ -61,6 +62,44 @@ def test_tokens(spark, tmp_path):
         assert r.ids_sha256 == hashlib.sha256(np.array(want, "<u4").tobytes()).hexdigest() and r.decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
 
 
+def test_lines_and_blanks_cost_few_calls(monkeypatch):
+    """Words on both sides of a line feed are looked up as words, texts with several blanks are taken together."""
+    encoder, lib = bpe.encoder.__wrapped__(BYTES), bpe.library(BYTES)
+    texts = [f"lich.\nÄchzu a{'bcdefg'[i % 6]} of,\nx.\nThe  last{'!' * i}" for i in range(50)] + ["a\n\nb 7\n", " one\ntwo"]
+    odd, calls, values = [], [], encoder._values
+    monkeypatch.setattr(encoder, "odd", lambda xs, f=encoder.odd: odd.extend(xs) or f(xs))
+    monkeypatch.setattr(encoder, "_values", lambda pieces: calls.append(len(pieces)) or values(pieces))
+    got = [np.frombuffer(x, "<u4").tolist() for x in encoder.texts(texts)]
+    assert got == [lib.encode(x, add_special_tokens=False).ids for x in texts]
+    assert len(calls) <= 2 and not [x for x in odd if "lich" in x or "x." in x]
+
+
+def test_encoders_on_odd_texts_with_small_caches():
+    rng = random.Random(1)
+    atoms = ["\n", "\n", " ", " ", "  ", "a", "Foo", "don", "'s", "'", "é", "ÿ", "×", "þÞ", "日本", "23", "...", "!?", "\t", "\r\n", "\x00", "\x1c", "\x85", "\xa0", "\u0301", "<|endoftext|>", "word.\nNext", ", and\nso", "😀", "aaa", "İ"]
+    texts = ["".join(rng.choice(atoms) for _ in range(rng.randrange(14))) for _ in range(900)]
+    for made, path in ((bpe.encoder, BYTES), (bpe_codec.encoder, WORDS), (token_counts.counter, BYTES)):
+        pieces, lib = made.__wrapped__(path), bpe.library(path)
+        pieces.room = 100
+        for a in range(0, 900, 150):
+            for got, x in zip(pieces.texts(texts[a : a + 150]), texts[a : a + 150]):
+                want = lib.encode(x, add_special_tokens=False).ids
+                assert (token_counts.count_at(got, len(x)) == len(want)) if pieces.dtype == "i1" else (np.frombuffer(got, "<u4").tolist() == want), x
+
+
+def test_words_are_joined_only_where_no_merge_crosses(tmp_path):
+    """A file whose merges take up the separating byte has its words encoded one by one."""
+    with open(BYTES, encoding="utf-8") as f:
+        spec = json.load(f)
+    assert bpe._end(BYTES) is not None
+    spec["model"]["vocab"]["aÿ"] = len(spec["model"]["vocab"]) + 10
+    spec["model"]["merges"].append("a ÿ" if isinstance(spec["model"]["merges"][0], str) else ["a", "ÿ"])
+    path = tmp_path / "table.json"
+    path.write_text(json.dumps(spec), encoding="utf-8")
+    assert bpe._end(str(path)) is None
+    assert np.frombuffer(bpe.encoder(str(path)).texts(["a a ba\nthe"])[0], "<u4").tolist() == bpe.library(str(path)).encode("a a ba\nthe", add_special_tokens=False).ids
+
+
 def test_packing(spark):
     rows, ids = packing.pack(docs(spark, ODD), BYTES, capacity=64).collect(), {i: [*bpe.library(BYTES).encode(t or "", add_special_tokens=False).ids, 0] for i, t in enumerate(ODD)}
     bins, parts = defaultdict(list), defaultdict(list)
